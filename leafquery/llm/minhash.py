@@ -117,7 +117,8 @@ def _size_fits(a: str, b: str, percent: int) -> Column:
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """pairs (a, ha, b, hb): with `both` and `either`, the sizes of intersection and union of the full sets."""
+    """pairs (a, ha, b, hb): with `both` and `either`, the sizes of intersection and union of the full sets, and `bits`:
+    which of b's shingles, in ascending order, a has, 64 to a number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, np.ndarray] = {}
@@ -133,14 +134,16 @@ def _confirm(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
             out = []
             for a, ha, b, hb, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x, y = of(ha, ta), of(hb, tb)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append((a, ha, b, hb, both, len(x) + len(y) - both))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["a", "ha", "b", "hb", "both", "either"])
+                has = np.isin(y, x, assume_unique=True)
+                both = int(has.sum())
+                bits = np.packbits(np.pad(has, (0, -len(has) % 64)), bitorder="little").view("<i8")
+                out.append((a, ha, b, hb, both, len(x) + len(y) - both, bits))
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["a", "ha", "b", "hb", "both", "either", "bits"])
 
     with_a = pairs.join(texts.select(F.col("h").alias("ha"), F.col("text").alias("ta")), "ha")
     with_b = with_a.join(texts.select(F.col("h").alias("hb"), F.col("text").alias("tb")), "hb")
-    return with_b.select("a", "ha", "b", "hb", "ta", "tb").mapInArrow(run, "a long, ha binary, b long, hb binary, both long, either long")
+    return with_b.select("a", "ha", "b", "hb", "ta", "tb").mapInArrow(run, "a long, ha binary, b long, hb binary, both long, either long, bits array<long>")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,15 +200,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         listed.join(together.withColumnRenamed("ha", "h"), "h", "left")
         .select(F.explode("keys").alias("key"), "keys", "h", "a", "n", "sig", F.coalesce("c", "a").alias("c"))
         .join(heads.select("key", "hb"), "key")
-        .join(to_pivot.select(F.col("ha").alias("h"), "hb", (1 - F.col("both") / F.col("either")).alias("d")), ["h", "hb"], "left")
-        .withColumn("d", F.when(F.col("h") == F.col("hb"), F.lit(0.0)).otherwise(F.col("d")))
+        .join(to_pivot.select(F.col("ha").alias("h"), "hb", (1 - F.col("both") / F.col("either")).alias("d"), "both", "bits"), ["h", "hb"], "left")
     )
     groups = apart.groupBy("key", "c").agg(F.count("*").alias("size"))
     mixed = groups.groupBy("key").agg(F.max(F.struct("size", "c")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("key", F.col("top.c").alias("major"))
     apart = materialize(apart.join(mixed, "key"), "minhash-apart")
-    left = apart.where("c != major and h != hb").select([F.col(x).alias(f"{x}1") for x in ("h", "a", "n", "sig", "c", "d", "keys")] + ["key"])
-    right = apart.where("h != hb").select([F.col(x).alias(f"{x}2") for x in ("h", "a", "n", "sig", "c", "d", "keys")] + ["key", "major"])
+    left = apart.where("c != major and h != hb").select([F.col(x).alias(f"{x}1") for x in ("h", "a", "n", "sig", "c", "d", "both", "bits", "keys")] + ["key"])
+    right = apart.where("h != hb").select([F.col(x).alias(f"{x}2") for x in ("h", "a", "n", "sig", "c", "d", "both", "bits", "keys")] + ["key", "major"])
     limit = 1 - percent / 100 + 1e-9
+    in_pivot = F.aggregate(F.zip_with("bits1", "bits2", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
+    shared_at_most = in_pivot + F.least(F.col("n1") - F.col("both1"), F.col("n2") - F.col("both2"))
     pairs = left.join(
         right,
         (left.key == right.key)
@@ -214,6 +218,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         & _size_fits("n1", "n2", percent)
         & F.coalesce(F.abs(F.col("d1") - F.col("d2")) <= limit, F.lit(True))
         & (_agreements("sig1", "sig2") >= least)
+        & F.coalesce(shared_at_most * 100 >= (F.col("n1") + F.col("n2") - shared_at_most) * percent, F.lit(True))
         & (F.array_intersect("keys1", "keys2")[0] == left.key),
     ).select(F.col("a1").alias("a"), F.col("h1").alias("ha"), F.col("a2").alias("b"), F.col("h2").alias("hb"))
     across = _confirm(pairs, texts, words).where(F.col("both") * 100 >= F.col("either") * percent)
