@@ -272,7 +272,7 @@ class _Maker:
 
     def article(self) -> str:
         r = self.r
-        out = [f"<h1>{self.mark(1, self.sentence(1, 9).rstrip('.'))}</h1>"]
+        out = [f"<h1>{self.mark(1, self.sentence(1, 9).rstrip('.'))}</h1>"] if r.random() < 0.85 else [f"<p>{self.mark(1, self.text(1, 3))}</p>"]
         if r.random() < 0.3:
             out.append(self.one("<p class='byline'>{}</p>", "<div class='meta'>{}</div>").format(self.mark(0, "Posted by " + self.word().title() + ", 3 days ago")) if r.random() < 0.4 else "")
         for _ in range(r.choice([0, 1, 2, 4, 6, 9])):
@@ -320,7 +320,8 @@ class _Maker:
         wrap = self.one("<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div class='content'>{}</div>", "<div id='main'>{}</div>", "<div class='post'>{}</div>", "<section class='entry-content'>{}</section>", "<div class='article-body'>{}</div>", "<div class='wrapper'><div class='story'>{}</div></div>", "<article class='post' itemprop='articleBody'>{}</article>")
         before = [x() for x, p in ((notice, 0.25), (head, 0.45), (nav, 0.7), (ad, 0.45), (form, 0.15), (side, 0.15)) if some(p)]
         after = [x() for x, p in ((side, 0.3), (self.comments, 0.35), (form, 0.2), (ad, 0.25), (nav, 0.1), (notice, 0.1)) if some(p)]
-        body = "".join(before) + wrap.format(self.article() + (self.comments() if some(0.08) else "") + (side() if some(0.08) else "")) + "".join(after) + (foot() if some(0.85) else "")
+        before, after = [] if some(0.15) else before, [] if some(0.15) else after
+        body = "".join(before) + wrap.format(self.article() + (self.comments() if some(0.08) else "") + (side() if some(0.08) else "")) + "".join(after) + (foot() if some(0.8) else "")
         return f"<!DOCTYPE html><html><head><title>{self.word()}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{body}</body></html>"
 
 
