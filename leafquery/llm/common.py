@@ -9,6 +9,8 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from leafquery.ship import ship
+
 #: Rows in an Arrow batch that goes to a Python worker. Texts may be very long, so batches stay short.
 BATCH_ROWS = 256
 
@@ -53,7 +55,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches short, so that a batch of very long texts still fits into a Python worker."""
+    """Ship the package, and keep Arrow batches short, so that a batch of very long texts still fits into a Python worker."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

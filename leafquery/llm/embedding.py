@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from leafquery.llm.common import materialize
 from leafquery.llm.components import components
+from leafquery.ship import ship
 
 #: Vectors meant for one cell, rows of a block, pivots of all labels together (a bounded sample; results never depend
 #: on it), and candidates looked at for each pivot.
@@ -84,6 +85,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     component_id is the least vec_id reachable; a row without an id has none, is kept, and is left out of the links.
     Repeated rows each count as a vector. Further columns are ignored. An empty table gives an empty result.
     """
+    ship(vectors.sparkSession)
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + SLACK
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).alias("v"))
     ready = materialize(given.mapInArrow(_prepare, "vec_id long, label long, h binary, u array<double>"), "vectors")

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafquery.ship import ship
+
 #: Tokens meant for one group of pieces that pack together.
 GROUP_TOKENS = 16 << 20
 
@@ -69,6 +71,7 @@ def pack(docs: DataFrame, lengths: tuple[int, ...] = (1024, 2048, 4096, 8192, 16
     Every row is packed, also with a null or empty text (the end token alone), a null id, or as a repeated row; rows of
     no tokens at all are given one. Further columns are ignored. An empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     allowed = sorted(set(lengths))
     most = allowed[-1]
     n = F.greatest(F.lit(1), F.coalesce(tokens if tokens is not None else F.octet_length(text_col) + 1, F.lit(1))).cast("long")
