@@ -162,12 +162,12 @@ _TOKENS = "string_split_regex(translate(regexp_replace(text, '<[^>]*>', ' ', 'g'
 ORACLES |= {
     "page_links": """WITH p AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>'), '<a href="[^"]*">[^<]*</a>')) AS a FROM pages)
 SELECT doc_id, regexp_extract(a, 'href="([^"]*)"', 1) AS href, replace(regexp_extract(a, '>([^<]*)<', 1), '&amp;', '&') AS t FROM p""",
-    "page_ads": """SELECT page_id AS doc_id, trim(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1)) AS ad FROM pages""",
+    "page_ads": """SELECT page_id AS doc_id, trim(regexp_replace(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1), '\\s+', ' ', 'g')) AS ad FROM pages""",
     "tfidf": f"""WITH t AS (SELECT doc_id AS node_id, unnest(list_filter({_TOKENS}, lambda x: x <> '')) AS term FROM documents),
 c AS (SELECT node_id, term, count(*) AS c FROM t GROUP BY 1, 2), n AS (SELECT node_id, count(*) AS total FROM t GROUP BY 1), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
 s AS (SELECT c.node_id, c.term, c.c / n.total * (ln(((SELECT count(*) FROM documents) + 1) / (d.df + 1)) + 1) AS score FROM c JOIN n USING (node_id) JOIN d USING (term) WHERE d.df >= 2)
 SELECT node_id, term, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY score DESC, term) AS r FROM s) WHERE r <= 3""",
     "summarize_content": f"""SELECT term AS token, count(*) AS count FROM (SELECT unnest(list_filter({_TOKENS}, lambda x: x <> '')) AS term FROM documents)
 WHERE term NOT IN ({", ".join(repr(w) for w in sorted(terms.STOPWORDS))}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""",
-    "csv_lines": L + """SELECT CAST(doc_id AS VARCHAR) || ',"a,""b"""' AS line FROM o""",
+    "csv_lines": L + "SELECT CAST(doc_id AS VARCHAR) || ',' || chr(34) || 'a,' || repeat(chr(34), 2) || 'b' || repeat(chr(34), 3) AS line FROM o",
 }

@@ -305,6 +305,12 @@ class Planner:
                     out.append(i.tag.lower())
             if i.kind == "tfidf":
                 out += [t for t in i.expr if t != "*"]
+            call = i.expr if i.kind == "expr" and i.alias is None else None
+            while isinstance(call, Call) and call.name == "TRIM" and call.args:
+                call = call.args[0]
+            if isinstance(call, Call) and call.name in ("TEXT", "INNER_HTML", "RAW_INNER_HTML") and isinstance(call.args[0], Operand) and call.args[0].bare:
+                tag = (call.args[0].attr or call.args[0].field).lower()
+                out += [tag] if tag != alias else []
         if any(i.kind in ("star", "self") for i in q.items):
             return []
         return sorted(set(out))
