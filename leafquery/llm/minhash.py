@@ -4,7 +4,8 @@
 2. Every class is posted under its (coordinate, value) pairs. Two signatures that agree in at least T of K coordinates
    share one of any K - T + 1 pairs of either, so only the rarest K - T + 1 pairs of a class are posted (prefix), and
    pairs that nobody shares need no posting.
-3. In each posting list the least class is the pivot. All others are held against it: agreements are counted on the
+3. In each posting list the class whose pairs are shared the most is the pivot, as it stands in the middle of its near
+   copies. All others are held against it: agreements are counted on the
    signatures, the coordinates outside the prefix being looked up and not merged (skip); from T agreements on, the
    full sets decide. That gives exact distances to the pivot and links near copies in linear time.
 4. Classes of one list that are not yet together are compared with each other, each pair in the first list it shares.
@@ -170,13 +171,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         posted.join(shared, "key")
         .groupBy("h")
         .agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("all"))  # K entries at most
-        .select("h", F.slice("all", F.lit(1), F.greatest(F.lit(0), prefix - K + F.size("all"))).alias("all"))
+        .select("h", F.aggregate("all", F.lit(0).cast("long"), lambda s, x: s + x["df"]).alias("w"), F.slice("all", F.lit(1), F.greatest(F.lit(0), prefix - K + F.size("all"))).alias("all"))
         .where(F.size("all") > 0)
-        .select("h", F.col("all.key").alias("keys"))
+        .select("h", "w", F.col("all.key").alias("keys"))
     )
     listed = materialize(ranked.join(nodes, "h"), "minhash-prefix")
-    postings = listed.select(F.explode("keys").alias("key"), "h", "a", "n")
-    heads = postings.groupBy("key").agg(F.min(F.struct("a", "n", "h")).alias("p"), F.count("*").alias("size")).where("size > 1").select("key", F.col("p.a").alias("b"), F.col("p.n").alias("m"), F.col("p.h").alias("hb"))
+    postings = listed.select(F.explode("keys").alias("key"), "h", "a", "n", "w")
+    heads = postings.groupBy("key").agg(F.max(F.struct("w", "a", "n", "h")).alias("p"), F.count("*").alias("size")).where("size > 1").select("key", F.col("p.a").alias("b"), F.col("p.n").alias("m"), F.col("p.h").alias("hb"))
 
     # the texts that may be needed
     wanted = listed.select(F.col("a").alias("doc_id"), "h")
@@ -195,9 +196,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     linked = to_pivot.where(F.col("both") * 100 >= F.col("either") * percent)
 
     # what the pivots have left apart
-    together = linked.groupBy("ha").agg(F.min("b").alias("c"))
+    together = components(linked.select("a", "b"), "minhash-star-groups").select(F.col("node").alias("a"), F.col("component").alias("c"))
     apart = (
-        listed.join(together.withColumnRenamed("ha", "h"), "h", "left")
+        listed.join(together, "a", "left")
         .select(F.explode("keys").alias("key"), "keys", "h", "a", "n", "sig", F.coalesce("c", "a").alias("c"))
         .join(heads.select("key", "hb"), "key")
         .join(to_pivot.select(F.col("ha").alias("h"), "hb", (1 - F.col("both") / F.col("either")).alias("d"), "both", "bits"), ["h", "hb"], "left")
@@ -223,7 +224,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     ).select(F.col("a1").alias("a"), F.col("h1").alias("ha"), F.col("a2").alias("b"), F.col("h2").alias("hb"))
     across = _confirm(pairs, texts, words).where(F.col("both") * 100 >= F.col("either") * percent)
 
-    found = components(linked.select("a", "b").union(across.select("a", "b")), "minhash-links")
+    found = components(together.union(across.select("a", "b")), "minhash-links")
     groups = first.join(found.withColumnRenamed("node", "a"), "a").select("h", F.col("component").alias("via"))
     direct = first.select("h", F.col("a").alias("own"))
     return (
