@@ -4,13 +4,14 @@ A state of the transducer is what the future can still change: the last token th
 after it. Reading a byte extends those bytes; every start of a token that could still reach past the end stays
 alive, and the tokens that all live starts have in common are emitted. Which tokens may stand side by side is decided
 by the merges: two tokens are neighbours of a tokenisation exactly if encoding their joined bytes gives them back.
-States and moves are made when first needed and kept in a table of bounded size, so the transducer is compiled only as
-far as the texts need it.
+Moves are made when first missing, one for each piece that misses one, in a table of bounded size; what lies behind a
+missing move is simulated from the same live starts. So the transducer is compiled only as far as texts come again.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 
 from leafquery.llm.common import file_bytes, short_batches, texts_of
 
-#: Moves, neighbour pairs and words that a worker keeps; a full table is emptied and filled anew.
-MOST_MOVES, MOST_PAIRS, MOST_WORDS = 200_000, 500_000, 250_000
+#: Moves, neighbour pairs, words and pieces that a worker keeps. A full table of moves gets no more, one of pairs is
+#: emptied; of words and pieces the last full table is kept beside the new one.
+MOST_MOVES, MOST_PAIRS, MOST_WORDS, MOST_PIECES = 200_000, 400_000, 400_000, 300_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -160,14 +162,43 @@ class Transducer:
         done = self.ends[state] = self.back(alive[-1][1], root)
         return done
 
+    def simulate(self, state: int, rest: bytes) -> tuple[int, ...]:
+        """The tokens of what a state holds and the rest of a piece, without making states for it."""
+        _, root, alive = self.states[state]
+        child, inner, token_at, pairs, found = self.child, self.inner, self.token_at, self.pairs, None
+        for byte in rest:
+            found, going = None, []
+            for node, link in alive:
+                if (node := child.get(node << 8 | byte)) is None:
+                    continue
+                if found is None and (token := token_at[node]) >= 0:
+                    before = link[1]
+                    if before < 0:
+                        if self.usable(token):
+                            found = (link, token, 0)
+                    else:
+                        fits = pairs.get(before << 32 | token)
+                        if self.neighbours(before, token) if fits is None else fits:
+                            found = (link, token, 0)
+                if inner[node]:
+                    going.append((node, link))
+            going.append((0, found))
+            alive = going
+        return self.back(found, root)
+
     def encode(self, piece: bytes) -> list[int]:
+        """Follows known moves; where one is missing it is made, for the next piece that comes so far, and the rest of
+        this piece is simulated. Once the table is full, no more moves are made."""
         if (token := self.ranks.get(piece)) is not None:
             return [token]
-        if len(self.moves) > MOST_MOVES:
-            self.reset()
         state, out, moves = 0, [], self.moves
-        for byte in piece:
-            step = moves.get(state << 8 | byte) or self.move(state, byte)
+        for i, byte in enumerate(piece):
+            step = moves.get(state << 8 | byte)
+            if step is None:
+                if len(moves) < MOST_MOVES:
+                    self.move(state, byte)
+                out.extend(self.simulate(state, piece[i:]))
+                return out
             state = step[0]
             if step[1]:
                 out.extend(step[1])
@@ -241,6 +272,7 @@ class Codec:
         self.pieces = regex.compile(pattern.replace(r"[^\s", "[^" + space).replace(r"\S", r"\P{White_Space}").replace(r"\s", space))
         self.two = regex.compile(space + space)
         self.memo: dict[str, bytes] = {}
+        self.memo_before: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.table = [self.fst.bytes_of.get(i, b"") for i in range(max(self.fst.bytes_of) + 1)]
@@ -249,10 +281,13 @@ class Codec:
         memo, out = self.memo, []
         for piece in self.pieces.findall(text):
             if (found := memo.get(piece)) is None:
-                if len(memo) >= MOST_WORDS:
-                    memo.clear()
-                ids = self.fst.encode(piece.encode("utf-8", "surrogatepass"))
-                found = memo[piece] = struct.pack(f"<{len(ids)}I", *ids)
+                if (found := self.memo_before.get(piece)) is None:
+                    ids = self.fst.encode(piece.encode("utf-8", "surrogatepass"))
+                    found = struct.pack(f"<{len(ids)}I", *ids)
+                if len(memo) >= MOST_PIECES:
+                    self.memo_before, self.memo = memo, {}
+                    memo = self.memo
+                memo[piece] = found
             out.append(found)
         return b"".join(out)
 
@@ -301,6 +336,9 @@ def codec(data: bytes, pattern: str) -> Codec:
     key = (hashlib.sha256(data).hexdigest(), pattern)
     if key not in _codecs:
         _codecs[key] = Codec(read_ranks(data), pattern)
+        gc.collect()
+        gc.freeze()  # the vocabulary stays; the collector need not walk it again and again
+        gc.set_threshold(100_000, 50, 1000)
     return _codecs[key]
 
 
