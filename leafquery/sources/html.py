@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import html as _html
 import re
-import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,9 +16,6 @@ from pyspark.sql import functions as F
 
 from leafquery.ship import ship
 
-#: Pages may nest deeper than Python's default allows.
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 100_000))
-
 # HTML's element classes and implied ends.
 VOID = frozenset("area base basefont br col embed frame hr img input isindex link meta param source track wbr".split())
 RAW = frozenset("script style".split())
@@ -64,13 +60,14 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 class Node:
-    __slots__ = ("attrs", "id", "kids", "parent", "parts", "size", "tag")
+    __slots__ = ("attrs", "id", "inline", "inner", "kids", "parent", "parts", "size", "tag", "text")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.kids: list[Node] = []
         self.parts: list[str | Node | tuple[str]] = []  # text, child, or (comment,)
         self.id = self.size = 0
+        self.text = self.inline = self.inner = ""
 
 
 def tree(page: str) -> list[Node]:
@@ -201,28 +198,22 @@ def tree(page: str) -> list[Node]:
     return roots
 
 
-def _inner(node: Node, out: list[str]) -> None:
+def _escaped(text: str) -> str:
+    return text.translate(_ESCAPE) if "&" in text or "<" in text or ">" in text else text
+
+
+def markup_of(node: Node) -> str:
+    """What stands inside a node, as markup. Its children's must be known."""
+    out = []
     for part in node.parts:
         if isinstance(part, str):
-            out.append(f"<![CDATA[{part}]]>" if node.tag in RAW else part.translate(_ESCAPE))
+            out.append(f"<![CDATA[{part}]]>" if node.tag in RAW else _escaped(part))
         elif isinstance(part, tuple):
             out.append(f"<!--{part[0]}-->")
         else:
-            attrs = "".join(f' {k}="{v.translate(_QUOTE)}"' for k, v in part.attrs.items())
-            if part.parts:
-                out.append(f"<{part.tag}{attrs}>")
-                _inner(part, out)
-                out.append(f"</{part.tag}>")
-            else:
-                out.append(f"<{part.tag}{attrs}/>")
-
-
-def _text(node: Node, out: list[str], through: frozenset | None = None) -> None:
-    for part in node.parts:
-        if isinstance(part, str):
-            out.append(part)
-        elif isinstance(part, Node) and (through is None or part.tag in through):
-            _text(part, out, through)
+            attrs = "".join(f' {k}="{v.translate(_QUOTE)}"' for k, v in part.attrs.items()) if part.attrs else ""
+            out.append(f"<{part.tag}{attrs}>{part.inner}</{part.tag}>" if part.parts else f"<{part.tag}{attrs}/>")
+    return "".join(out)
 
 
 NODE = pa.struct(
@@ -259,6 +250,12 @@ def nodes_of(pages: list[str], need: frozenset = frozenset(TEXTS)) -> list[dict]
         for node, *_ in reversed(order):
             node.size = 1 + sum(k.size for k in node.kids)
             height[node.id] = 1 + max((height[k.id] for k in node.kids), default=-1)
+            if "text" in need:
+                node.text = "".join([p if isinstance(p, str) else p.text for p in node.parts if not isinstance(p, tuple)])
+            if "inline_text" in need:
+                node.inline = "".join([p if isinstance(p, str) else p.inline for p in node.parts if isinstance(p, str) or isinstance(p, Node) and p.tag in INLINE])
+            if "inner_html" in need:
+                node.inner = markup_of(node)
         lifo, todo2 = {}, list(roots)
         while todo2:
             node = todo2.pop()
@@ -272,21 +269,28 @@ def nodes_of(pages: list[str], need: frozenset = frozenset(TEXTS)) -> list[dict]
                 "lifo": lifo[node.id], "near_tr": tr, "near_cell": cell,
             }
             if "text" in need:
-                _text(node, parts := [])
-                row["text"] = "".join(parts)
+                row["text"] = node.text
             if "direct_text" in need:
                 row["direct_text"] = "".join(p for p in node.parts if isinstance(p, str))
             if "inline_text" in need:
-                _text(node, parts := [], INLINE)
-                row["inline_text"] = "".join(parts)
+                row["inline_text"] = node.inline
             if "inner_html" in need:
-                _inner(node, parts := [])
-                row["inner_html"] = "".join(parts)
+                row["inner_html"] = node.inner
             rows.append(row)
         out += rows
     return out
 
 
+def nodes_array(docs: list[list[dict]]) -> pa.Array:
+    """Documents' nodes as one Arrow array, column by column."""
+    rows = [n for d in docs for n in d]
+    offsets = [0]
+    for d in docs:
+        offsets.append(offsets[-1] + len(d))
+    columns = [pa.array([n.get(f.name) for n in rows], f.type) for f in NODE]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(NODE)))
+
+
 def parse_pages(pages: DataFrame, need: frozenset = frozenset(TEXTS), html: str = "html") -> DataFrame:
     """pages (doc_id, source_uri, html: a string, or an array of fragments that form one forest): doc_id, source_uri, nodes.
 
@@ -300,6 +304,6 @@ def parse_pages(pages: DataFrame, need: frozenset = frozenset(TEXTS), html: str
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
                 rows = [nodes_of([y for y in x or [] if y] if many else [x], need) for x in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.list_(NODE))], names=["doc_id", "source_uri", "nodes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), nodes_array(rows)], names=["doc_id", "source_uri", "nodes"])
 
     return pages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source_uri").cast("string").alias("source_uri"), html).mapInArrow(run, f"doc_id long, source_uri string, nodes {NODES_DDL}")

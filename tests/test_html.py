@@ -2,14 +2,20 @@ import random
 
 import pytest
 
-from leafquery.sources.html import Node, _inner, nodes_of, tree
+from leafquery.sources.html import Node, markup_of, nodes_of, tree
 
 
 def markup(page):
-    root, out = Node("", {}, None), []
+    def fill(node):
+        for kid in node.parts:
+            if isinstance(kid, Node):
+                fill(kid)
+        node.inner = markup_of(node)
+        return node.inner
+
+    root = Node("", {}, None)
     root.parts = tree(page)
-    _inner(root, out)
-    return "".join(out)
+    return fill(root)
 
 
 @pytest.mark.parametrize(
