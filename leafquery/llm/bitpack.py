@@ -26,7 +26,9 @@ MAGIC = b"LQPACK01"
 BLOCK = 1 << 14
 #: Text bytes meant for one file, and the most files; beyond that, files grow (they are written as a stream).
 FILE_BYTES, MOST_FILES = 24 << 20, 65_536
-MOST_WORDS = 250_000
+MOST_WORDS = 400_000
+#: Marks that may follow a stem of letters, and the first letter whose lower case is not plain.
+MARKS, PLAIN = '.,;:!?"#$%&*|()', "\u0130"
 
 
 def width_of(vocabulary: int) -> int:
@@ -143,10 +145,47 @@ class WordEncoder:
 
         self.lib = Tokenizer.from_str(data.decode())
         self.lib.encode_special_tokens = True
+        ends = [i for word, i in self.lib.get_vocab().items() if word.endswith("</w>")]
+        self.ends = np.zeros(max(self.lib.get_vocab().values()) + 1, bool)
+        self.ends[ends] = True
         self.batch = getattr(self.lib, "encode_batch_fast", self.lib.encode_batch)
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def learn(self, words: list[str]) -> None:
+        """Encode words that are not known. A stem of letters is one unit to the tokenizer, so many are encoded in one
+        call and told apart by the ends of units; the case of plain letters does not count, and marks after a stem
+        begin a new unit."""
+        known, stems, whole = self.words, {}, []
+        for word in words:
+            stem = word.rstrip(MARKS)
+            if stem.isalpha() and max(stem) < PLAIN:
+                stems[word] = (stem.lower(), word[len(stem) :])
+            else:
+                whole.append(word)
+        parts = {x for pair in stems.values() for x in pair} - known.keys() - self.older.keys()
+        alone = [*whole, *(x for x in parts if not x.isalpha())]
+        joined = [x for x in parts if x.isalpha()]
+        for k in range(0, len(joined), 512):
+            part = joined[k : k + 512]
+            ids = np.array(self.batch([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                for word, x in zip(part, np.split(ids, ends[:-1]), strict=True):
+                    known[word] = x.tobytes()
+            else:  # a vocabulary whose units do not end visibly
+                alone += part
+        for k in range(0, len(alone), 4096):
+            part = alone[k : k + 4096]
+            for word, e in zip(part, self.batch(part, add_special_tokens=False), strict=True):
+                known[word] = np.array(e.ids, "<u4").tobytes()
+        for word, (stem, tail) in stems.items():
+            known[word] = self.of(stem) + self.of(tail)
+
+    def of(self, word: str) -> bytes:
+        found = self.words.get(word)
+        return self.older[word] if found is None else found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -157,10 +196,7 @@ class WordEncoder:
                     new.append(word)
                 else:
                     known[word] = found
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for word, e in zip(part, self.batch(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, "<u4").tobytes()
+        self.learn(new)
         out = [b"".join(map(known.__getitem__, words)) for words in split]
         if len(known) >= MOST_WORDS:
             self.older, self.words = known, {}

@@ -57,6 +57,18 @@ def test_documents(spark, sf_dir, monkeypatch):
     assert got == expected([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_words_equal_the_library():
+    lib = Tokenizer.from_file(PATH)
+    lib.encode_special_tokens = True
+    use = bitpack.WordEncoder(open(PATH, "rb").read())
+    rnd = np.random.default_rng(3)
+    letters = list("abcdefgXYZéÉßüñ'´İΣς1²९,.!?#$|\n\t \u00a0\u0301한😀")
+    texts = ["".join(rnd.choice(letters, rnd.integers(0, 60))) for _ in range(1500)]
+    for k in range(0, len(texts), 50):
+        got = use.encode(texts[k : k + 50])
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in lib.encode_batch(texts[k : k + 50], add_special_tokens=False)]
+
+
 def test_odd_rows(spark):
     rows = [(5, None, 1), (5, None, 1), (3, "", 2), (4, "Ünïcode ǅ a b c\x1cd\n\ne" * 3000, None), (9, " <|endoftext|> ", 1)]
     got = [tuple(r) for r in read_ids(write_ids(spark.createDataFrame(rows, "doc_id long, text string, part int"), PATH, 1)).collect()]
