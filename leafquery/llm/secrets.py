@@ -25,10 +25,24 @@ SHAPES = {
     "map key": r"AIza[0-9A-Za-z_-]{35}",
     "signed token": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
 }
-PREFIX = rf"(?i:{NAMES})[\"']?\s{{0,3}}(?::|=>?|:=)\s{{0,3}}[\"']?"
-ASSIGNED = rf"{PREFIX}[^\s\"'`,;<>#$%&*(){{}}\[\]]{{6,}}"
-RANDOM = r"(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:" + "|".join([*SHAPES.values(), ASSIGNED, RANDOM]) + ")"
+# A name may end a longer one (DB_PASSWORD, dbPassword); the lookahead only spares words that nothing is assigned to.
+NAMED = rf"(?=[A-Za-z0-9_.-]*+[\"'`]?\s{{0,3}}[:=])[A-Za-z0-9_.-]*(?i:{NAMES})[\"'`]?\s{{0,3}}(?::=|:|=>?)"
+
+
+def _plain(closers: str) -> str:
+    """A value without quotes, up to white space, to closers before it, or to the next assignment of a query or list."""
+    return rf"(?:[^\s&;,?{{|\"'`)\]}}>]|(?![&;,?{{|][\"'`]?{NAMED})(?![{closers}]{{1,8}}+(?!\S))\S){{6,}}+"
+
+
+# Brackets close a value only if none is opened in it. A private key is left to its shape.
+UNQUOTED = rf"(?!-----BEGIN)(?:(?=[^\s(\[{{<]*+[(\[{{<]){_plain(',;\"\'`')}|{_plain(',;\"\'`)\\]}>')})"
+_QUOTED = [rf"(?<={q})(?:(?:[^{q}\\\r\n]|\\[^\r\n]){{6,}}+(?={q})|(?![^{q}\r\n]*{q}){UNQUOTED})" for q in "\"'`"]
+VALUE = rf"(?:(?<![\"'`]){UNQUOTED}|" + "|".join(_QUOTED) + ")"
+PREFIX = rf"{NAMED}\s{{0,3}}[\"'`]?+"
+RANDOM = rf"(?=[A-Za-z+/_-]*[0-9])(?:[A-Za-z0-9_-]|[+/](?!{PREFIX}{VALUE})){{20,}}+={{0,2}}"
+SHAPE = r"(?<![A-Za-z0-9+/_-])(?:" + "|".join(SHAPES.values()) + ")"
+#: Its group 1 is what stands before an assigned value.
+CANDIDATE = rf"{SHAPE}|(?<![A-Za-z0-9_.-])({PREFIX}){VALUE}|(?<![A-Za-z0-9+/_-]){RANDOM}"
 #: What any candidate holds; most texts have none of it and are done.
 ANY = r"[0-9=]|(?i:" + NAMES + r")|-----BEGIN"
 
@@ -38,6 +52,7 @@ PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng
 GOOD_SIGNS = NAMES + r"|bearer|authorization|login|key is|credential"
 BAD_SIGNS = r"commit|revision|sha-?1|sha-?256|sha-?512|md5|checksum|digest|integrity|etag|hash|uuid|guid|build|version|isbn|phone|serial|order|invoice|tracking|example|sample|dummy|fixture|placeholder"
 HOLDERS = r"x{4,}|\*{3,}|your|change.?me|example|placeholder|^(?:none|null|true|false|undefined|password|secret)$|\.\.\.|todo|dummy|redacted|0{6,}|12345"
+EXPRESSION = r"^[A-Za-z_.:>-]{3,}[(\[]|^[$%]?[{(<]|^\$[A-Za-z_]+$|^[A-Za-z_]+(?:(?:\.|->|::)[A-Za-z_]+)+$"
 PATHS = r"test|example|sample|fixture|doc|vendor|node_modules|lock"
 
 TREES, DEPTH, FINDINGS, SEED = 25, 7, 6000, 17
@@ -63,7 +78,7 @@ def features(value: Column, left: Column, right: Column, path: Column) -> list[C
         count("[-_./+=]") / n,
         F.size(F.array_distinct(F.split(F.substring(value, 1, 64), ""))) / F.least(n, F.lit(64.0)),
         flag(low.rlike(HOLDERS)),
-        flag(value.rlike("^(?:" + "|".join(SHAPES.values()) + ")$")),
+        flag(value.rlike(SHAPE)),
         flag(F.lower(left).rlike(rf"(?:{GOOD_SIGNS})\W{{0,6}}$")),
         flag(F.lower(F.concat_ws(" ", left, right)).rlike(GOOD_SIGNS)),
         flag(F.lower(F.concat_ws(" ", left, right)).rlike(rf"\b(?:{BAD_SIGNS})\b")),
@@ -71,6 +86,9 @@ def features(value: Column, left: Column, right: Column, path: Column) -> list[C
         count("/"),
         flag(F.lower(path).rlike(PATHS)),
         flag(value.rlike(r"^[0-9_./:-]+$|^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$")),
+        count(r"\s") / n,
+        count(r"[^A-Za-z0-9\s_./+=-]") / n,
+        flag(value.rlike(EXPRESSION)),
     ]
 
 
@@ -84,6 +102,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     plain = F.concat_ws(" ", word("l1"), word("l2"), word("l3"), F.lit(""))
     upper = F.upper(b64("u", 16))
     name = pick("name", "password=", 'token = "', "secret: ", "api_key=", "access_key = ", "passwd: ", 'client_secret="', "auth_token: ")
+    longer = pick("longer", "DB_PASSWORD=", "MYSQL_ROOT_PASSWORD: ", "SMTP_TOKEN=", 'dbPassword = "', "app.mail.password=", "AWS_SECRET_ACCESS_KEY=", '"userToken": "', "export API_KEY='")
+    special = pick("special", *"$#%&*(){}[]@!.^?")
     of = lambda left: F.concat(plain, left)
     length = (F.lit(14) + F.pmod(F.xxhash64(F.lit("n"), i), F.lit(30))).cast("int")
     good = [
@@ -98,6 +118,12 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (F.concat(F.initcap(word("w")), hexa("w", 4), pick("w2", "!", "_x", "7", "+")), of(pick("k4", "password=", "passwd: ", "pwd="))),
         (b64("t", 24), of(pick("k5", "secret ", "token ", "login with ", "bearer "))),
         (hexa("h40", 40), of(pick("k6", 'token = "', "token=", "secret=", "api_key: "))),
+        (F.concat(b64("a1", 3), special, b64("a2", 10)), of(longer)),
+        (F.concat(F.initcap(word("w3")), hexa("a3", 2), special, b64("a4", 8)), of(name)),
+        (F.substring(b64("a5", 40), F.lit(1), (F.lit(8) + F.pmod(F.xxhash64(F.lit("n2"), i), F.lit(9))).cast("int")), of(longer)),
+        (F.concat(F.translate(F.concat(F.initcap(word("w4")), word("w5")), "oeai", "0341"), pick("dot", "", ".", special), hexa("a6", 2)), of(longer)),
+        (F.concat_ws(" ", b64("a7", 5), F.concat(special, b64("a8", 6)), b64("a9", 4)), of(pick("k7", 'password = "', "db_secret: '", '"passphrase": "'))),
+        (F.concat(pick("q1", "", "key=", "https://host/?k="), F.lit("AKIA"), upper, pick("q2", "", "&x=1", ",eu")), of(longer)),
     ]
     bad = [
         (hexa("c", 40), of(pick("b0", "commit ", "revision ", "sha1 ", "merged in ", "at commit "))),
@@ -113,6 +139,13 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
         (pick("ph", "changeme", "xxxxxxxxxxxx", "your_api_key_here", "example_password", "placeholder", "password", "********", "undefined", "insert-your-token", "none-given"), of(name)),
         (F.concat(word("q1"), word("q2")), of(pick("q", "token: ", "secret = ", "password: "))),
         (hexa("f", 40), of(pick("f1", "", "object ", "tree ", "version "))),
+        (F.concat(pick("e1", "os.environ[", "getenv(", "config.get(", "request.args.get(", "get_secret(", "vault.read("), pick("e2", '"', "'", ""), F.upper(word("e3")), F.lit("_"), word("e4"), pick("e5", '")', "']", ")", "])")), of(longer)),
+        (F.concat(pick("t1", "${", "{{", "$(", "%(", "<", "{"), word("t2"), pick("t3", "_", "-", "."), word("t4"), pick("t5", "}", "}}", ")", ")s", ">")), of(name)),
+        (F.concat_ws(" ", word("o1"), word("o2"), word("o3"), word("o4"), pick("o5", "", "your password", "2 times", "(optional)")), of(pick("o6", 'password: "', '"secret": "', "login_token = '"))),
+        (F.concat_ws(".", pick("d1", "process.env", "self", "settings", "config", "app"), word("d3"), F.concat(word("d4"), pick("d5", "", "()", "[0]"))), of(longer)),
+        (F.concat(pick("v1", "$", "&", "#", "%"), F.upper(F.concat_ws("_", word("v2"), word("v3"))), pick("v4", "", "%")), of(name)),
+        (F.concat(word("x1"), pick("x2", "", "(", "#", "&", "/"), word("x3"), pick("x4", "?", "!", "</b>", ").", "*")), of(pick("x5", "Password: ", "token: ", "the secret: "))),
+        (pick("ty", "string|undefined", "Option<String>", "varchar(255)", "str | None", "z.string()", "[String!]", "char[64]", "required|min:8", "(none)", "&str,default"), of(longer)),
         (b64("im", 60), of(pick("im2", "integrity sha512-", "data:image/png;base64,", "checksum "))),
     ]
     which = lambda options, j: reduce(lambda c, k: c.when(F.pmod(i, F.lit(len(options))) == k, options[k][j]), range(1, len(options)), F.when(F.pmod(i, F.lit(len(options))) == 0, options[0][j]))
@@ -173,7 +206,9 @@ def _scanned(docs: DataFrame, text: Column, path: Column, threshold: float) -> t
     trees = forest(spark)
     some = text.rlike(ANY) & text.rlike(CANDIDATE)
     out = docs.withColumn("__text", F.when(some, text)).withColumn("__path", path)
-    out = out.withColumn("__pieces", F.split("__text", CANDIDATE, -1)).withColumn("__hits", F.regexp_extract_all("__text", F.lit(CANDIDATE), F.lit(0)))
+    out = out.withColumn("__pieces", F.split("__text", CANDIDATE, -1))
+    for name, group in (("__hits", 0), ("__prefixes", 1)):
+        out = out.withColumn(name, F.regexp_extract_all("__text", F.lit(CANDIDATE), F.lit(group)))
     sizes = F.zip_with("__pieces", "__hits", lambda p, h: F.length(p) + F.coalesce(F.length(h), F.lit(0)))
     ends = F.aggregate(sizes, F.array(F.lit(0).cast("int")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
     out = out.withColumn("__ends", ends)
@@ -182,7 +217,7 @@ def _scanned(docs: DataFrame, text: Column, path: Column, threshold: float) -> t
         lambda h, i: F.struct(
             (F.col("__ends")[i] + F.length(F.col("__pieces")[i])).alias("at"),
             h.alias("hit"),
-            F.regexp_extract(h, rf"^({PREFIX})", 1).alias("prefix"),
+            F.col("__prefixes")[i].alias("prefix"),
             F.right(F.col("__pieces")[i], F.lit(80)).alias("before"),
             F.left(F.col("__pieces")[i + 1], F.lit(60)).alias("after"),
         ),
