@@ -52,33 +52,38 @@ def _sketch(rows: DataFrame, by: list[str], width: Column, sign: Column) -> Data
 def _peel(cells: DataFrame, by: list[str], rounds: int) -> DataFrame:
     """Peel one subtable after the other. A digest has one cell in each, so no digest is taken twice at a time.
 
-    What was peeled is counted in cell -1: digests of the first version in the lower 32 bits, of the second above.
+    What was peeled stands in cell -1, by its digest (null in other cells), n being 1 if only the first version has it
+    and -1 if only the second. Returns rest, the cells left, and in_a and in_b, the digests recovered.
     """
     width = F.col("width")
+    cells = cells.withColumn("digest", F.lit(None).cast("long"))
+    none = F.lit(None).cast("long").alias("digest")
     for turn in range(3 * rounds):
         table = turn % 3
         inside = (F.col("cell") >= F.lit(table) * width) & (F.col("cell") < F.lit(table + 1) * width)
         pure = inside & (F.abs("n") == 1) & (F.col("checks") == _check(F.col("keys")))
-        own = F.struct("cell", F.col("n").alias("n"), F.col("keys").alias("keys"), F.col("checks").alias("checks"))
-        off = [F.struct(_place(F.col("keys"), t, width).alias("cell"), (-F.col("n")).alias("n"), F.col("keys").alias("keys"), F.col("checks").alias("checks")) for t in range(3)]
-        got = F.struct(F.lit(-1).alias("cell"), F.when(F.col("n") == 1, F.lit(1).cast("long")).otherwise(F.lit(1 << 32)).alias("n"), F.lit(0).cast("long").alias("keys"), F.lit(0).cast("long").alias("checks"))
+        own = F.struct("cell", F.col("n").alias("n"), F.col("keys").alias("keys"), F.col("checks").alias("checks"), F.col("digest").alias("digest"))
+        off = [F.struct(_place(F.col("keys"), t, width).alias("cell"), (-F.col("n")).alias("n"), F.col("keys").alias("keys"), F.col("checks").alias("checks"), none) for t in range(3)]
+        got = F.struct(F.lit(-1).alias("cell"), F.col("n").alias("n"), F.lit(0).cast("long").alias("keys"), F.lit(0).cast("long").alias("checks"), F.col("keys").alias("digest"))
         cells = (
             cells.select(*by, F.explode(F.when(pure, F.array(own, *off, got)).otherwise(F.array(own))).alias("c"))
-            .groupBy(*by, F.col("c.cell").alias("cell"))
+            .groupBy(*by, F.col("c.cell").alias("cell"), F.col("c.digest").alias("digest"))
             .agg(F.sum("c.n").alias("n"), F.bit_xor("c.keys").alias("keys"), F.bit_xor("c.checks").alias("checks"))
-            .where("cell = -1 or n != 0 or keys != 0 or checks != 0")
+            .where("n != 0 or keys != 0 or checks != 0")
         )
     return cells.groupBy(*by).agg(
         F.count(F.when(F.col("cell") >= 0, 1)).alias("rest"),
-        F.coalesce(F.sum(F.when(F.col("cell") == -1, F.col("n"))), F.lit(0)).alias("got"),
+        *[F.sort_array(F.collect_list(F.when((F.col("cell") == -1) & (F.col("n") == n), F.col("digest")))).alias(f"in_{x}") for x, n in (("a", 1), ("b", -1))],  # not more than the pair has
     )
 
 
 def differences(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
-    """pairs: rid, pair, a, b (arrays of distinct digests), width (power of two). Returns rid, pair, only_a, only_b:
-    how many digests only one of the two has, for every pair, by sketches of growing size.
+    """pairs: rid, pair, a, b (arrays of distinct digests), width (power of two). Returns rid, pair, in_a, in_b, only_a,
+    only_b: which digests, ascending, only one of the two has, and how many, for every pair, by sketches of growing size.
 
-    A pair that MOST_TRIES sizes do not solve, of which the chance is negligible, is counted from the digests."""
+    For a pair that MOST_TRIES sizes do not solve, of which the chance is negligible, they are taken from the arrays."""
+    counted = [F.size(f"in_{x}").cast("long").alias(f"only_{x}") for x in "ab"]
+    empty = F.array().cast("array<bigint>")
     done, left = None, pairs
     for k in range(MOST_TRIES):
         dealt = left.repartition("rid")
@@ -86,16 +91,16 @@ def differences(pairs: DataFrame, rounds: int | None = None) -> DataFrame:
         cells = _sketch(both, ["rid", "pair", "width"], F.col("width"), F.col("s")).where("n != 0 or keys != 0 or checks != 0")
         solved = _peel(cells, ["rid", "pair", "width"], rounds or ROUNDS).where("rest = 0")
         # pairs whose cells all cancel have no rows left: they do not differ
-        solved = solved.select("rid", "pair", F.col("got").bitwiseAND((1 << 32) - 1).alias("only_a"), F.shiftright("got", 32).alias("only_b"), F.lit(True).alias("ok"))
+        solved = solved.select("rid", "pair", "in_a", "in_b")
         some = cells.select("rid", "pair").distinct()
-        equal = dealt.select("rid", "pair").join(some, ["rid", "pair"], "left_anti").select("rid", "pair", F.lit(0).cast("long").alias("only_a"), F.lit(0).cast("long").alias("only_b"), F.lit(True).alias("ok"))
+        equal = dealt.select("rid", "pair").join(some, ["rid", "pair"], "left_anti").select("rid", "pair", empty.alias("in_a"), empty.alias("in_b"))
         solved = materialize(solved.union(equal), "sketch-differences")
         done = solved if done is None else done.union(solved)
         left = materialize(left.join(solved, ["rid", "pair"], "left_anti").withColumn("width", F.col("width") * 4), "sketch-retries")
         if not left.limit(1).count():
-            return done.drop("ok")
-    rest = left.select("rid", "pair", F.size(F.array_except("a", "b")).cast("long").alias("only_a"), F.size(F.array_except("b", "a")).cast("long").alias("only_b"))
-    return done.drop("ok").union(rest)
+            return done.select("*", *counted)
+    rest = left.select("rid", "pair", F.sort_array(F.array_except("a", "b")).alias("in_a"), F.sort_array(F.array_except("b", "a")).alias("in_b"))
+    return done.union(rest).select("*", *counted)
 
 
 def _power(n: Column) -> Column:

@@ -51,6 +51,16 @@ def test_retries_give_the_same_differences(spark, monkeypatch):
     assert got == {i: (len(set(a) - set(b)), len(set(b) - set(a))) for i, _, a, b, _ in rows}
 
 
+@pytest.mark.parametrize("most_tries", [8, 1])
+def test_peeling_returns_the_differing_digests(spark, monkeypatch, most_tries):
+    monkeypatch.setattr(fingerprint, "MOST_TRIES", most_tries)
+    sets = [([], []), ([5], []), ([], [-7]), ([1, 2, 3], [3, 2, 1]), (list(range(-40, 60)), list(range(30, 95))), ([0], [1])]
+    rows = [(i, k, a, b, 8) for i, (a, b) in enumerate(sets) for k in (1, 2)]
+    got = {(r.rid, r.pair): (r.in_a, r.in_b, r.only_a, r.only_b) for r in differences(spark.createDataFrame(rows, "rid long, pair int, a array<long>, b array<long>, width int")).collect()}
+    apart = lambda a, b: sorted(set(a) - set(b))
+    assert got == {(i, k): (apart(a, b), apart(b, a), len(apart(a, b)), len(apart(b, a))) for i, k, a, b, _ in rows}
+
+
 def test_odd_rows(spark):
     rows = [(5, None), (4, ""), (9, "One. Two.\nThree"), (7, "é😀 " * 20000), (-3, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit("p"))
