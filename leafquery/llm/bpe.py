@@ -27,6 +27,8 @@ from leafquery.llm.common import file_bytes, short_batches, texts_of
 #: Moves, neighbour pairs, words and pieces that a worker keeps. A full table of moves gets no more, one of pairs is
 #: emptied; of words and pieces the last full table is kept beside the new one.
 MOST_MOVES, MOST_PAIRS, MOST_WORDS, MOST_PIECES = 200_000, 400_000, 400_000, 300_000
+#: Tokens that are decoded at a time.
+RUN = 4096
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -211,11 +213,12 @@ class Utf8Machine:
     """Incremental UTF-8: feed() takes bytes as they come and gives the text that is complete so far.
 
     The state is the count of continuation bytes still owed and the range allowed for the next one; ill-formed bytes
-    become U+FFFD, one for each maximal part of a character.
+    become U+FFFD, one for each maximal part of a character, and valid becomes false.
     """
 
     def __init__(self):
         self.held, self.owed, self.least, self.most = bytearray(), 0, 0x80, 0xBF
+        self.valid = True
 
     def feed(self, data: bytes) -> str:
         tail = self._tail(data)
@@ -232,13 +235,20 @@ class Utf8Machine:
         self.held, self.owed, self.least, self.most = bytearray(rest), 0, 0x80, 0xBF
         if rest:
             self._begin(rest)
-        return whole.decode("utf-8", "replace")
+        return self._text(whole)
 
     def finish(self) -> str:
-        out = bytes(self.held).decode("utf-8", "replace")
-        self.__init__()
+        out = self._text(bytes(self.held))
+        self.held, self.owed, self.least, self.most = bytearray(), 0, 0x80, 0xBF
         return out
 
+    def _text(self, data: bytes) -> str:
+        try:
+            return data.decode("utf-8")
+        except UnicodeDecodeError:
+            self.valid = False
+            return data.decode("utf-8", "replace")
+
     def _begin(self, part: bytes) -> None:
         lead = part[0]
         self.owed = (1 if lead < 0xE0 else 2 if lead < 0xF0 else 3) - (len(part) - 1)
@@ -318,6 +328,15 @@ class Codec:
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
+    def decode_digest(self, ids: bytes) -> tuple[str, bool]:
+        """The sha256 of the decoded text and whether all of it is well-formed, from the text as it grows by RUN tokens.
+        The digest is of the bytes as they are if some are ill-formed."""
+        machine, digest = Utf8Machine(), hashlib.sha256()
+        for at in range(0, len(ids), 4 * RUN):
+            digest.update(machine.feed(self.decode(ids[at : at + 4 * RUN])).encode())
+        digest.update(machine.finish().encode())
+        return (digest.hexdigest() if machine.valid else hashlib.sha256(self.decode(ids)).hexdigest()), machine.valid
+
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         """The text as it grows, never half a character."""
         machine = Utf8Machine()
@@ -352,7 +371,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
     spark = docs.sparkSession
     short_batches(spark)
     data = spark.sparkContext.broadcast(file_bytes(ranks_path))
-    schema = "doc_id long, n_tokens long" + ", ids binary" * keep_ids + ", ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id long, n_tokens long" + ", ids binary" * keep_ids + ", ids_sha256 string, decoded_sha256 string, valid_utf8 boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(data.value, pattern)
@@ -362,7 +381,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
             if keep_ids:
                 cols.append(pa.array(ids, pa.binary()))
             cols.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids]))
-            cols.append(pa.array([hashlib.sha256(use.decode(x)).hexdigest() for x in ids]))
+            decoded = [use.decode_digest(x) for x in ids]
+            cols += [pa.array([d for d, _ in decoded], pa.string()), pa.array([v for _, v in decoded], pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -61,6 +61,21 @@ def test_documents(spark, sf_dir, pair):
         assert got[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
 
 
+def test_ids_are_decoded_by_the_machine_in_runs(spark, pair, monkeypatch):
+    own, _ = pair
+    fed = []
+    feed = Utf8Machine.feed
+    monkeypatch.setattr(Utf8Machine, "feed", lambda self, data: fed.append(len(data)) or feed(self, data))
+    monkeypatch.setattr("leafquery.llm.bpe.RUN", 3)
+    for data, valid in (("é€😀 a�" * 50).encode(), True), (b"", True), (b"a\xff\xe2\x82 b", False), (b"a\xf0\x9f", False), (b"\xed\xa0\x80", False):
+        ids = np.array([own.fst.ranks[bytes((byte,))] for byte in data], "<u4").tobytes()
+        fed.clear()
+        assert own.decode_digest(ids) == (hashlib.sha256(data).hexdigest(), valid)
+        assert sum(fed) == len(data) and max(fed, default=0) <= 3
+    out = encode_documents(spark.createDataFrame([(1, "é😀 x"), (2, None)], "doc_id long, text string"), RANKS, P.PATTERN).collect()
+    assert [r.valid_utf8 for r in out] == [True, True]
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "x"), (1, None, "x"), (None, "", None), (2, "a  b\n\n c" * 20000, "y"), (2, "é", "z")]
     out = encode_documents(spark.createDataFrame(rows, "doc_id long, text string, n_tokens string"), RANKS, P.PATTERN).collect()
