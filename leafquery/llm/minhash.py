@@ -184,8 +184,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     small = wanted.count() <= BROADCAST_IDS
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts.join(F.broadcast(wanted) if small else wanted, "doc_id").select("h", "text")
-    if named.groupBy("doc_id").agg(F.countDistinct("h").alias("n")).where("n > 1").limit(1).count():
-        texts = _own_texts(texts, words)  # an id with several texts: each goes with its own set
+    sets = sketched.where("doc_id is not null").groupBy("doc_id").agg(F.countDistinct(F.coalesce("h", F.lit(b""))).alias("n"))
+    if sets.where("n > 1").limit(1).count():
+        texts = _own_texts(texts, words)  # an id with several texts, be one blank: each goes with its own set
     texts = materialize(texts.dropDuplicates(["h"]) if not small else texts, "minhash-texts")
 
     # every list against its pivot

@@ -66,6 +66,19 @@ def test_odd_rows(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("ids", [1_000_000, 1])
+def test_blank_rows_of_an_id_do_not_hide_its_text(spark, monkeypatch, ids):
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", ids)
+    rows = []
+    for i in range(0, 60, 2):
+        text = " ".join(f"w{i}x{k}" for k in range(60))
+        own = [(i, text), (i, (None, "", " \t")[i % 3])]
+        rows += (own if i % 4 else own[::-1]) + [(i + 1, text + " more")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 5, 80).collect()
+    want = [(i, 0, i) for i in range(0, 60, 2)] + [(i, 56, i) for i in range(0, 60, 2)] + [(i + 1, 57, i) for i in range(0, 60, 2)]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(want)
+
+
 def test_query_equals_sql(spark, sf_dir):
     got = sorted(tuple(r) for r in op2_minhash_near_dedup(spark, sf_dir).collect())
     con = duckdb.connect()
