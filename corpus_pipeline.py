@@ -22,14 +22,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity of 0.8 or more) the document of least id stays.
+    """Of each group of near duplicates (five words, similarity of 0.8 or more) one row stays, that of least id.
 
-    Rows without an id, and ids of which any row stays, are kept.
+    Rows are told apart by a key of their own, so of rows that repeat an id one stays like of others; rows without an
+    id come after those with one. Texts without words have no duplicates and stay.
     """
-    groups = near_duplicates(docs, words=5, percent=80).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    gone = materialize(groups.where("not kept").select("doc_id"), "near-dedup-gone")
+    keyed = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "near-dedup-rows")
+    ids = keyed.select("__row", "doc_id")
+    groups = near_duplicates(keyed, words=5, percent=80, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    kept = ids.join(groups, "__row").groupBy("component_id").agg(F.min(first).alias("first")).select("first.__row")
+    gone = materialize(ids.join(kept, "__row", "left_anti").select("__row"), "near-dedup-gone")
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+    return keyed.join(F.broadcast(gone) if small else gone, "__row", "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

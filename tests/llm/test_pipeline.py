@@ -29,3 +29,13 @@ def test_columns_and_odd_rows(spark, sf_dir):
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns and out.count() == 4
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark, sf_dir):
+    text = " ".join(f"w{k}" for k in range(60))
+    other = "quite another text " + " ".join(f"v{k}" for k in range(40))
+    rows = [(7, text), (3, text + " more"), (3, text + " more"), (None, text), (None, other), (None, other + " end"), (5, ""), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], table(spark, sf_dir, "documents").schema)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()]
+    assert sorted(got, key=str)[:2] == [(3, text + " more"), (5, "")] and len(got) == 4
+    assert got.count((5, "")) == 2 and sum(i is None and t.startswith(other) for i, t in got) == 1
