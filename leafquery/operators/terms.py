@@ -25,12 +25,13 @@ def summarize(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def tfidf(rows: DataFrame, by: list[str], top: int = 30, min_df: int = 1, max_df: int = 0, stopwords: bool = True) -> DataFrame:
-    """rows (by…, node_id, parent_id, tag, terms): terms_score, a map of each row's best terms.
+    """rows (by…, node_id, parent_id, tag, terms): terms_score, a map of each row's best terms. A doc_id that is not in by
+    still tells rows of several documents apart.
 
     The matched rows of a group are the documents. Terms are counted before anything is shuffled; the rows of a group
     are counted by the same partial sums.
     """
-    keep = ["node_id", "parent_id", "tag"]
+    keep = [c for c in ("doc_id", "node_id", "parent_id", "tag") if c in rows.columns and c not in by]
     terms = F.filter("terms", lambda t: ~t.isin(*sorted(STOPWORDS))) if stopwords else F.col("terms")
     rows = rows.withColumn("terms", terms)
     counted = rows.select(*by, *keep, F.size("terms").alias("total"), F.explode("terms").alias("term")).groupBy(*by, *keep, "total", "term").agg(F.count("*").alias("c"))

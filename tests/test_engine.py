@@ -85,6 +85,13 @@ def test_pages_without_rows_and_nulls(spark):
     assert Engine.of_table(spark, pages.limit(0)).execute("SELECT p.text FROM doc").count() == 0
 
 
+def test_tfidf_over_a_corpus_keeps_documents_apart(spark):
+    pages = spark.createDataFrame([(k, None, f"<html><body><p>{w}</p></body></html>") for k, w in ((1, "apple pear"), (2, "apple plum"))], "page_id long, url string, html string")
+    got = {r.doc_id: r.terms_score for r in Engine.of_table(spark, pages, scope="corpus").execute("SELECT TFIDF(p) FROM doc").collect()}
+    assert {k: set(m) for k, m in got.items()} == {1: {"apple", "pear"}, 2: {"apple", "plum"}}
+    assert got[1]["apple"] == got[2]["apple"] < got[1]["pear"] == got[2]["plum"]
+
+
 def test_stream(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{sf_dir}/pages.parquet").write.parquet(f"{tmp_path}/in")
     text = "SELECT h1.node_id FROM doc WHERE parent.tag = 'article'"
