@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -20,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir, or one of our own where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a
+    folder of its own; on a cluster, whose machines do not see each other's folders, it is an error."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='leafquery-')}"
         sc.setCheckpointDir(at)
         at = sc.getCheckpointDir() or at
@@ -46,12 +50,27 @@ def _remove(spark: SparkSession, at: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back. Survives a lost executor."""
+def materialize(df: DataFrame, label: str, done: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Cut the lineage: write df as Parquet into the shared folder and read it back. Survives a lost executor.
+
+    done: materialized tables that nothing reads any more once df is written; their folders go at once."""
     spark = df.sparkSession
     at = fresh_dir(spark, label)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    release(*done)
+    out = spark.read.schema(df.schema).parquet(at)
+    _folders[id(out)] = (out, at)
+    return out
+
+
+_folders: dict[int, tuple[DataFrame, str]] = {}
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the folders of materialized tables that nothing reads any more."""
+    for df in tables:
+        if id(df) in _folders:
+            _remove(df.sparkSession, _folders.pop(id(df))[1])
 
 
 def short_batches(spark: SparkSession) -> None:

@@ -32,7 +32,7 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
     sign = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = sign(now)
     while before[0]:
-        now = materialize(_star(_star(now, True), False), label)
+        now = materialize(_star(_star(now, True), False), label, done=(now,))
         after = sign(now)
         if after == before:
             break

@@ -7,10 +7,15 @@
 3. In each posting list the class whose pairs are shared the most is the pivot, as it stands in the middle of its near
    copies. All others are held against it: agreements are counted on the
    signatures, the coordinates outside the prefix being looked up and not merged (skip); from T agreements on, the
-   full sets decide. That gives exact distances to the pivot and links near copies in linear time.
-4. Classes of one list that are not yet together are compared with each other, each pair in the first list it shares.
-   Jaccard distance is a metric, so pairs whose distances to their common pivot differ by more than the limit cannot
-   be linked and are skipped. What is left is counted and confirmed like above. No list is cut and no link is lost but
+   full sets decide. That links near copies in linear time, and gives for each class what it shares with the pivot (one
+   bit for each shingle of the pivot) and what it has besides (its extras). Two classes held against one pivot need no
+   texts any more: bits and extras give their intersection.
+4. Classes of one pivot that are not together yet are told apart by keys, not pair by pair. A pair above the limit
+   either shares an extra, one of the rarest few of either (the rest cannot make up the limit), or its whole
+   intersection lies in the pivot, which for classes not linked with the pivot leaves a narrow range of sizes. So extras
+   and sizes are posted. Each such list first takes a pivot of its own, and only classes that this does not unite
+   are compared in pairs. Classes with too few agreements with their pivot are compared with the members of its list
+   by their signatures. No list is cut and no link is lost but
    for pairs with fewer than T agreements in spite of their similarity; T keeps that chance below MISS per pair.
 5. The links' connected components give the groups.
 """
@@ -27,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafquery.llm.common import materialize, short_batches, texts_of
+from leafquery.llm.common import materialize, release, short_batches, texts_of
 from leafquery.llm.components import components
 
 K = 32
@@ -39,6 +44,9 @@ _MIX = np.random.default_rng(20240229)
 _FACTORS = _MIX.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _MIX.integers(0, 2**63, K, dtype=np.uint64)
 _PLACES = _MIX.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MARKS = _MIX.integers(0, 2**63, K, dtype=np.uint64)
+#: Sizes of a pivot's classes are posted in steps of this share of the pivot's size. Parts of a profile.
+SIZE_STEPS, PARTS = 64, 64
 
 
 class _WordHashes(dict):
@@ -74,11 +82,12 @@ def shingle_set(text: str, n: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(K, np.iinfo(np.uint32).max, np.uint32)
+    """The least value of each of K hash functions, as 64-bit numbers that also tell the coordinate."""
+    least = np.full(K, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(shingles), 4096):
-        values = ((shingles[k : k + 4096, None] * _FACTORS + _SHIFTS) >> np.uint64(32)).astype(np.uint32)
-        np.minimum(least, values.min(axis=0), out=least)
-    return least.view(np.int32)
+        np.minimum(least, (shingles[k : k + 4096, None] * _FACTORS + _SHIFTS).min(axis=0), out=least)
+    least = (least ^ _MARKS) * np.uint64(0x9E3779B97F4A7C15)
+    return (least ^ (least >> np.uint64(31))).view(np.int64)
 
 
 def needed_agreements(similarity: float, k: int = K, miss: float = MISS) -> int:
@@ -104,9 +113,9 @@ def sketch(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
                 counts.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "h", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "h", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h binary, sig array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, h binary, sig array<long>")
 
 
 def _agreements(a: str, b: str) -> Column:
@@ -117,9 +126,18 @@ def _size_fits(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """pairs (a, ha, b, hb): with `both` and `either`, the sizes of intersection and union of the full sets, and `bits`:
-    which of b's shingles, in ascending order, a has, 64 to a number."""
+def _above(both: Column, n: str, m: str, percent: int) -> Column:
+    """Whether sets of n and m shingles of which `both` are common are linked."""
+    return both * (100 + percent) >= (F.col(n) + F.col(m)) * percent
+
+
+_CONFIRMED = "a long, ha binary, b long, hb binary, n long, m long, both long, bits array<long>, extras array<long>, profile array<int>"
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """pairs (a, ha, b, hb): with n and m, the sizes of their full sets, `both`, how much is common, `bits`: which of b's
+    shingles, in ascending order, a has, 64 to a number, `extras`: the shingles that only a has, and `profile`: how many
+    of either lie in each of PARTS parts of b's shingles and of all numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, np.ndarray] = {}
@@ -128,23 +146,88 @@ def _confirm(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
             if h not in held:
                 if len(held) >= 64:
                     held.clear()
-                held[h] = shingle_set(text or "", n)
+                held[h] = shingle_set(text or "", words)
             return held[h]
 
         for batch in batches:
-            out = []
-            for a, ha, b, hb, ta, tb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sizes, bits, extras, profiles = [], [], [], []
+            for ha, hb, ta, tb in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4, 5)), strict=True):
                 x, y = of(ha, ta), of(hb, tb)
                 has = np.isin(y, x, assume_unique=True)
-                both = int(has.sum())
-                bits = np.packbits(np.pad(has, (0, -len(has) % 64)), bitorder="little").view("<i8")
-                out.append((a, ha, b, hb, both, len(x) + len(y) - both, bits))
-            cols = list(zip(*out, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["a", "ha", "b", "hb", "both", "either", "bits"])
+                sizes.append((len(x), len(y), int(has.sum())))
+                bits.append(np.packbits(np.pad(has, (0, -len(has) % 64)), bitorder="little").view("<i8"))
+                own = x[np.isin(x, y, assume_unique=True, invert=True)]
+                extras.append(own.view(np.int64))
+                profiles.append(np.concatenate([np.bincount(np.flatnonzero(has) * PARTS // max(1, len(y)), minlength=PARTS), np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=PARTS)]).astype(np.int32))
+            cols = [pa.array(c, pa.int64()) for c in (zip(*sizes, strict=True) if sizes else ([], [], []))]
+            lists = [pa.array(c, pa.list_(pa.int64())) for c in (bits, extras)] + [pa.array(profiles, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), *cols, *lists], names=["a", "ha", "b", "hb", "n", "m", "both", "bits", "extras", "profile"])
 
     with_a = pairs.join(texts.select(F.col("h").alias("ha"), F.col("text").alias("ta")), "ha")
     with_b = with_a.join(texts.select(F.col("h").alias("hb"), F.col("text").alias("tb")), "hb")
-    return with_b.select("a", "ha", "b", "hb", "ta", "tb").mapInArrow(run, "a long, ha binary, b long, hb binary, both long, either long, bits array<long>")
+    return with_b.select("a", "ha", "b", "hb", "ta", "tb").mapInArrow(run, _CONFIRMED)
+
+
+def _common(one: str, two: str) -> Column:
+    """Of two classes held against one pivot: the size of the intersection of their sets."""
+    in_pivot = F.aggregate(F.zip_with(f"{one}.bits", f"{two}.bits", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
+    return in_pivot + F.size(F.array_intersect(f"{one}.extras", f"{two}.extras"))
+
+
+def _links_of(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """pairs (hb, h1, h2) of classes held against the pivot hb: (a, b) of those that are linked."""
+    fat = F.struct("a", "n", "bits", "extras")
+    found = pairs.join(members.select("hb", F.col("h").alias("h1"), fat.alias("x")), ["hb", "h1"]).join(members.select("hb", F.col("h").alias("h2"), fat.alias("y")), ["hb", "h2"])
+    return found.where(_above(_common("x", "y"), "x.n", "y.n", percent)).select(F.col("x.a").alias("a"), F.col("y.a").alias("b"))
+
+
+def _among_pivots(to_pivot: DataFrame, together: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes that were held against one pivot and are not in one component of `together` (a, c)."""
+    rows = to_pivot.select("a", F.col("ha").alias("h"), "hb", "n", "m", "both", "bits", "extras", "profile")
+
+    def apart(df: DataFrame, by: list[str]) -> DataFrame:
+        """Of df with a component c, the groups that hold several."""
+        return df.groupBy(*by).agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select(*by)
+
+    members = rows.join(together, "a", "left").withColumn("c", F.coalesce("c", "a"))
+    members = materialize(members.join(apart(members, ["hb"]), "hb"), "minhash-members")
+
+    # keys: the rarest extras that classes of several components have, as far as the limit needs them, and the size
+    step = F.greatest(F.lit(1), F.floor(F.col("m") / SIZE_STEPS))
+    extras = members.select("hb", "h", "c", F.explode("extras").alias("key"))
+    kept = extras.groupBy("hb", "key").agg(F.count("*").alias("df"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("hb", "key", "df")
+    needed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1  # so many of the rarest shingles hold one that is common
+    ranked = extras.join(kept, ["hb", "key"]).groupBy("hb", "h").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("all"))  # a class's own extras
+    slim = members.select("hb", "h", "c", "n", "m", "both", F.size("extras").alias("more"), step.alias("step"), "profile")
+    keyed = slim.join(ranked, ["hb", "h"])
+    first = F.greatest(F.lit(0), F.least(F.size("all"), (needed - (F.col("more") - F.size("all"))).cast("int")))
+    by_extra = keyed.select("hb", "h", "c", "n", "both", "more", "profile", F.explode(F.slice("all.key", F.lit(1), first)).alias("key"))
+    by_size = slim.select("hb", "h", "c", "n", "both", "more", F.lit(None).cast("array<int>").alias("profile"), F.floor(F.col("n") / F.col("step")).alias("key"), "step")
+    lists = materialize(by_extra.withColumn("kind", F.lit(1)).unionByName(by_size.drop("step").withColumn("kind", F.lit(0))), "minhash-lists")
+
+    # each list against a pivot of its own
+    heads = lists.groupBy("hb", "kind", "key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.xxhash64("h").alias("r"), "h")).alias("p")).where("c0 != c1").select("hb", "kind", "key", F.col("p.h").alias("h2"))
+    tried = lists.select("hb", "kind", "key", F.col("h").alias("h1")).join(heads, ["hb", "kind", "key"]).where("h1 != h2").select("hb", "h1", "h2").distinct()
+    star = materialize(_links_of(tried, members, percent), "minhash-list-stars")
+    now = components(together.select(F.col("a").alias("u"), F.col("c").alias("v")).union(star), "minhash-list-groups").select(F.col("node").alias("a"), F.col("component").alias("c"))
+
+    # what is still apart, in pairs
+    own = members.select("hb", "h", "a").join(now, "a", "left").select("hb", "h", F.coalesce("c", "a").alias("c"))
+    left = lists.where("kind = 1").drop("c", "kind").join(own, ["hb", "h"])
+    left = left.join(apart(left, ["hb", "key"]), ["hb", "key"])
+    x, y = (left.select("hb", "key", *[F.col(v).alias(f"{v}{k}") for v in ("h", "c", "n", "both", "more", "profile")]) for k in (1, 2))
+    most = F.least("both1", "both2") + F.least("more1", "more2")
+    in_parts = F.aggregate(F.zip_with("profile1", "profile2", lambda p, q: F.least(p, q)), F.lit(0), lambda s, p: s + p)
+    extra_pairs = x.join(y, ["hb", "key"]).where((F.col("h1") < F.col("h2")) & (F.col("c1") != F.col("c2")) & _size_fits("n1", "n2", percent) & _above(most, "n1", "n2", percent) & _above(in_parts, "n1", "n2", percent))
+    sized = slim.drop("c").join(own, ["hb", "h"])
+    sized = sized.join(apart(sized, ["hb"]), "hb")
+    # x is the larger one; both sets' common part lies in the pivot, so n1 + n2 is bounded by what x shares with it
+    low, high = F.ceil(F.col("n") * percent / 100), F.least(F.col("n"), F.floor(F.col("both") * (100 + percent) / percent).cast("long") - F.col("n"))
+    x = sized.where(low <= high).select("hb", *[F.col(v).alias(f"{v}1") for v in ("h", "c", "n", "both")], F.explode(F.sequence(F.floor(low / F.col("step")), F.floor(high / F.col("step")))).alias("key"))
+    y = sized.select("hb", *[F.col(v).alias(f"{v}2") for v in ("h", "c", "n", "both")], F.floor(F.col("n") / F.col("step")).alias("key"))
+    size_pairs = x.join(y, ["hb", "key"]).where((F.col("c1") != F.col("c2")) & ((F.col("n1") > F.col("n2")) | (F.col("n1") == F.col("n2")) & (F.col("h1") < F.col("h2"))) & _size_fits("n1", "n2", percent) & _above(F.least("both1", "both2"), "n1", "n2", percent))
+    pairs = extra_pairs.select("hb", "h1", "h2").union(size_pairs.select("hb", "h1", "h2")).distinct()
+    return materialize(star.union(_links_of(pairs, members, percent)), "minhash-among", done=(lists, star, members))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,7 +248,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     nodes = materialize(named.join(first.withColumnRenamed("a", "doc_id"), ["h", "doc_id"]).dropDuplicates(["h"]).select("h", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), "sig"), "minhash-nodes")
 
     # postings of the rarest pairs that anybody shares
-    posted = nodes.select("h", F.posexplode("sig").alias("at", "value")).select("h", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long")).alias("key"))
+    posted = nodes.select("h", F.explode("sig").alias("key"))
     shared = posted.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     ranked = (
         posted.join(shared, "key")
@@ -190,42 +273,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     texts = materialize(texts.dropDuplicates(["h"]) if not small else texts, "minhash-texts")
 
     # every list against its pivot
-    star = postings.join(heads, "key").where((F.col("h") != F.col("hb")) & _size_fits("n", "m", percent)).select("h", "a", "hb", "b").distinct()
+    star = postings.join(heads, "key").where(F.col("h") != F.col("hb")).select("h", "a", "hb", "b").distinct()
     sigs = nodes.select("h", "sig")
     star = star.join(sigs, "h").join(sigs.select(F.col("h").alias("hb"), F.col("sig").alias("sig_b")), "hb").where(_agreements("sig", "sig_b") >= least)
-    to_pivot = materialize(_confirm(star.select("a", F.col("h").alias("ha"), "b", "hb"), texts, words).distinct(), "minhash-star")
-    linked = to_pivot.where(F.col("both") * 100 >= F.col("either") * percent)
+    to_pivot = materialize(_confirm(star.select("a", F.col("h").alias("ha"), "b", "hb"), texts, words), "minhash-star")
+    linked = to_pivot.where(_above(F.col("both"), "n", "m", percent))
 
     # what the pivots have left apart
     together = components(linked.select("a", "b"), "minhash-star-groups").select(F.col("node").alias("a"), F.col("component").alias("c"))
-    apart = (
-        listed.join(together, "a", "left")
-        .select(F.explode("keys").alias("key"), "keys", "h", "a", "n", "sig", F.coalesce("c", "a").alias("c"))
-        .join(heads.select("key", "hb"), "key")
-        .join(to_pivot.select(F.col("ha").alias("h"), "hb", (1 - F.col("both") / F.col("either")).alias("d"), "both", "bits"), ["h", "hb"], "left")
-    )
-    groups = apart.groupBy("key", "c").agg(F.count("*").alias("size"))
-    mixed = groups.groupBy("key").agg(F.max(F.struct("size", "c")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("key", F.col("top.c").alias("major"))
-    apart = materialize(apart.join(mixed, "key"), "minhash-apart")
-    left = apart.where("c != major and h != hb").select([F.col(x).alias(f"{x}1") for x in ("h", "a", "n", "sig", "c", "d", "both", "bits", "keys")] + ["key"])
-    right = apart.where("h != hb").select([F.col(x).alias(f"{x}2") for x in ("h", "a", "n", "sig", "c", "d", "both", "bits", "keys")] + ["key", "major"])
-    limit = 1 - percent / 100 + 1e-9
-    in_pivot = F.aggregate(F.zip_with("bits1", "bits2", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
-    shared_at_most = in_pivot + F.least(F.col("n1") - F.col("both1"), F.col("n2") - F.col("both2"))
+    among = _among_pivots(to_pivot, together, percent)
+
+    # classes with too few agreements with a list's pivot, against the list
+    all_rows = listed.join(together, "a", "left").select(F.explode("keys").alias("key"), "keys", "h", "a", "n", "sig", F.coalesce("c", "a").alias("c"))
+    placed = all_rows.select("key", "h", "c").join(heads.select("key", "hb"), "key").where("h != hb").join(to_pivot.select(F.col("ha").alias("h"), "hb", F.lit(True).alias("held")), ["h", "hb"], "left")
+    open_ = placed.groupBy("key").agg(F.count(F.when(F.col("held").isNull(), 1)).alias("far"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("far > 0 and c0 != c1").select("key")
+    placed = placed.join(open_, "key").select("key", "h", F.col("held").isNotNull().alias("held"))
+    spread = materialize(all_rows.join(placed, ["key", "h"]), "minhash-far")
+    left = spread.where("not held").select([F.col(x).alias(f"{x}1") for x in ("h", "a", "n", "sig", "c", "keys")] + ["key"])
+    right = spread.select([F.col(x).alias(f"{x}2") for x in ("h", "a", "n", "sig", "c", "keys", "held")] + ["key"])
     pairs = left.join(
         right,
         (left.key == right.key)
         & (F.col("c1") != F.col("c2"))
-        & ((F.col("c2") == F.col("major")) | (F.col("h1") < F.col("h2")))
+        & (F.col("held2") | (F.col("h1") < F.col("h2")))
         & _size_fits("n1", "n2", percent)
-        & F.coalesce(F.abs(F.col("d1") - F.col("d2")) <= limit, F.lit(True))
         & (_agreements("sig1", "sig2") >= least)
-        & F.coalesce(shared_at_most * 100 >= (F.col("n1") + F.col("n2") - shared_at_most) * percent, F.lit(True))
         & (F.array_intersect("keys1", "keys2")[0] == left.key),
     ).select(F.col("a1").alias("a"), F.col("h1").alias("ha"), F.col("a2").alias("b"), F.col("h2").alias("hb"))
-    across = _confirm(pairs, texts, words).where(F.col("both") * 100 >= F.col("either") * percent)
+    across = _confirm(pairs, texts, words).where(_above(F.col("both"), "n", "m", percent)).select("a", "b")
 
-    found = components(together.union(across.select("a", "b")), "minhash-links")
+    found = components(together.union(among).union(across), "minhash-links")
+    release(nodes, listed, texts, to_pivot, spread)
     groups = first.join(found.withColumnRenamed("node", "a"), "a").select("h", F.col("component").alias("via"))
     direct = first.select("h", F.col("a").alias("own"))
     return (

@@ -98,3 +98,32 @@ def test_components_of_paths_and_stars(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "x long, y long")).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, **{i: 400 for i in (*range(400, 450), 500)}, 2: 2, 3: 2}
     assert components(spark.createDataFrame([], "x long, y long")).count() == 0
+
+
+@pytest.mark.parametrize("n, percent", [(3, 85), (5, 80)])
+def test_excerpts_and_variants_of_one_text(spark, n, percent):
+    """Classes that their pivot does not unite: excerpts of one text, copies with another passage, and edits of both."""
+    rnd = random.Random(7 * n)
+    base = [f"b{k}" for k in range(130)]
+    others = [[f"o{v}x{k}" for k in range(rnd.randint(8, 30))] for v in range(4)]
+    rows = []
+    for i in range(420):
+        words = list(base)
+        if i % 3 == 0:
+            low = rnd.randint(0, 45)
+            words = words[low : low + rnd.randint(75, 110)]
+        elif i % 3 == 1:
+            words = words[: rnd.randint(95, 130)] + rnd.choice(others)
+        for _ in range(rnd.randint(0, 6)):
+            at = rnd.randrange(len(words))
+            if rnd.random() < 0.4:
+                del words[at]
+            else:
+                words[at] = f"e{rnd.randrange(400)}"
+        rows.append((i * 7 % 2003, " ".join(words)))
+    rows += [(5000 + i, " ".join(base)) for i in range(1500)]
+    want = brute(rows[:430], n, percent)
+    same = min([i for i, t in rows[:430] if t == " ".join(base)])
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()}
+    assert {i: got[i] for i in want} == {i: c for i, (_, c) in want.items()}
+    assert {got[5000 + i] for i in range(1500)} == {got[same]}
