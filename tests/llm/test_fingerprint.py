@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from leafquery.llm import fingerprint
 from leafquery.llm.common import table
-from leafquery.llm.fingerprint import differences, fingerprints
+from leafquery.llm.fingerprint import differences, fingerprints, peel, sketch, subtract
 
 PIECE = re.compile(fingerprint._PIECE)
 
@@ -44,21 +44,30 @@ def test_documents(spark, sf_dir, monkeypatch, part_bytes):
     assert sum(r.near_edited > r.near_next for r in got) > 0.9 * len(got)
 
 
-def test_retries_give_the_same_differences(spark, monkeypatch):
-    monkeypatch.setattr(fingerprint, "MOST_TRIES", 4)
-    rows = [(i, 1, list(range(i)), list(range(i // 2, i + 40 * (i % 3))), 8) for i in range(0, 90, 7)]
-    got = {r.rid: (r.only_a, r.only_b) for r in differences(spark.createDataFrame(rows, "rid long, pair int, a array<long>, b array<long>, width int")).collect()}
-    assert got == {i: (len(set(a) - set(b)), len(set(b) - set(a))) for i, _, a, b, _ in rows}
+def recovered(spark, rows, tries):
+    table = spark.createDataFrame([(i, list(a), list(b)) for i, (a, b) in enumerate(rows)], "i int, a array<long>, b array<long>")
+    found = differences(F.col("a"), F.col("b"), sketch(F.col("a"), F.lit(0)), sketch(F.col("b"), F.lit(0)), tries)
+    got = {r.i: (r.x.in_a, r.x.in_b) for r in table.select("i", found.alias("x")).collect()}
+    assert got == {i: (sorted(set(a) - set(b)), sorted(set(b) - set(a))) for i, (a, b) in enumerate(rows)}
 
 
-@pytest.mark.parametrize("most_tries", [8, 1])
-def test_peeling_returns_the_differing_digests(spark, monkeypatch, most_tries):
-    monkeypatch.setattr(fingerprint, "MOST_TRIES", most_tries)
-    sets = [([], []), ([5], []), ([], [-7]), ([1, 2, 3], [3, 2, 1]), (list(range(-40, 60)), list(range(30, 95))), ([0], [1])]
-    rows = [(i, k, a, b, 8) for i, (a, b) in enumerate(sets) for k in (1, 2)]
-    got = {(r.rid, r.pair): (r.in_a, r.in_b, r.only_a, r.only_b) for r in differences(spark.createDataFrame(rows, "rid long, pair int, a array<long>, b array<long>, width int")).collect()}
-    apart = lambda a, b: sorted(set(a) - set(b))
-    assert got == {(i, k): (apart(a, b), apart(b, a), len(apart(a, b)), len(apart(b, a))) for i, k, a, b, _ in rows}
+@pytest.mark.parametrize("tries", [8, 2])
+def test_peeling_returns_the_differing_digests(spark, tries):
+    recovered(spark, [([], []), ([5], []), ([], [-7]), ([1, 2, 3], [3, 2, 1]), (range(-40, 60), range(30, 95)), ([0], [1])], tries)
+
+
+def test_retries_give_the_same_differences(spark):
+    recovered(spark, [(range(i), range(i // 2, i + 40 * (i % 3))) for i in range(0, 90, 7)] + [(range(3000), range(2990, 5000)), (range(4000), range(1, 4001))], 8)
+
+
+def test_small_differences_are_peeled_from_the_fingerprints_alone(spark):
+    """Without a retry: a few differences among many paragraphs leave nothing in the subtracted cells."""
+    rows = spark.range(200).select(F.sequence(F.lit(0).cast("long"), F.col("id") + 50).alias("a"), F.sequence(F.lit(2).cast("long"), F.col("id") + 52).alias("b"))
+    cells = subtract(sketch(F.col("a"), F.lit(0)), sketch(F.col("b"), F.lit(0)))
+    got = rows.select("a", "b", peel(cells, F.lit(0)).alias("x")).collect()
+    done = [r for r in got if not r.x.rest]
+    assert len(done) > 180
+    assert all(sorted(r.x.in_a) == [0, 1] and sorted(r.x.in_b) == [r.a[-1] + 1, r.a[-1] + 2] for r in done)
 
 
 def test_odd_rows(spark):
