@@ -2,7 +2,7 @@
 
 A file: the blocks, then a footer, then the footer's length. Every id takes the fewest bits that the vocabulary needs,
 every block holds BLOCK ids and begins on a byte. The footer has the width, the counts, each block's offset, and each
-document's id and first position. unpack() turns any range of ids into a numpy array without touching other blocks.
+document's id, first position and whether it has no id. unpack() turns any range of ids into a numpy array without touching other blocks.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import hashlib
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,10 +66,10 @@ class Writer:
         self.out = self.fs.open_output_stream(self.temp)
         self.width, self.rest, self.held, self.at, self.n = width, [], 0, 0, 0
         self.offsets: list[int] = []
-        self.doc_ids: list[int] = []
+        self.doc_ids: list[int | None] = []
         self.starts: list[int] = []
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.doc_ids.append(doc_id)
         self.starts.append(self.n)
         self.n += len(ids)
@@ -89,7 +89,8 @@ class Writer:
 
     def close(self) -> int:
         self._blocks(self.held)
-        docs = b"".join(np.array(x, "<i8").tobytes() for x in (self.offsets, self.doc_ids, self.starts))
+        index = [self.offsets, [x or 0 for x in self.doc_ids], self.starts]
+        docs = b"".join(np.array(x, "<i8").tobytes() for x in index) + bytes(x is None for x in self.doc_ids)
         footer = struct.pack("<IIQQQ", self.width, BLOCK, self.n, len(self.offsets), len(self.doc_ids)) + docs
         self.out.write(footer + struct.pack("<Q", len(footer)) + MAGIC)
         self.out.close()
@@ -113,7 +114,8 @@ class Reader:
         self.end = size - 16 - length
         self.width, self.block, self.n, blocks, docs = struct.unpack_from("<IIQQQ", footer)
         x = np.frombuffer(footer, "<i8", blocks + 2 * docs, struct.calcsize("<IIQQQ"))
-        self.offsets, self.doc_ids, self.starts = x[:blocks], x[blocks : blocks + docs], x[blocks + docs :]
+        self.offsets, self.starts = x[:blocks], x[blocks + docs :]
+        self.doc_ids = [None if none else i for i, none in zip(x[blocks : blocks + docs].tolist(), footer[-docs:] if docs else b"", strict=True)]
 
     def ids(self, first: int, count: int) -> np.ndarray:
         out = []
@@ -126,11 +128,11 @@ class Reader:
             first, count = first + take, count - take
         return np.concatenate(out) if out else np.empty(0, np.uint32)
 
-    def documents(self, run: int = 64) -> Iterator[tuple[int, int, np.ndarray]]:
+    def documents(self, run: int = 64) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """Each document's id, first position and ids, reading some blocks at a time."""
         stops = np.append(self.starts[1:], self.n)
         held, low = np.empty(0, np.uint32), 0
-        for doc_id, start, stop in zip(self.doc_ids.tolist(), self.starts.tolist(), stops.tolist(), strict=True):
+        for doc_id, start, stop in zip(self.doc_ids, self.starts.tolist(), stops.tolist(), strict=True):
             if stop > low + len(held):
                 held, low = np.concatenate([held[start - low :], self.ids(low + len(held), min(self.n, max(stop, low + len(held) + run * self.block)) - low - len(held))]), start
             yield doc_id, start, held[start - low : stop - low]
@@ -138,13 +140,12 @@ class Reader:
 
 class WordEncoder:
     """Ids by the tokenizers library. The tokenizer drops white space and joins nothing across it, so the words
-    between spaces and line ends are encoded once and remembered."""
+    between spaces and line ends are encoded once and remembered, as little-endian integers of `kind`."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, kind: str = "<u4"):
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_str(data.decode())
-        self.lib.encode_special_tokens = True
+        self.lib, self.kind = Tokenizer.from_str(data.decode()), kind
         ends = [i for word, i in self.lib.get_vocab().items() if word.endswith("</w>")]
         self.ends = np.zeros(max(self.lib.get_vocab().values()) + 1, bool)
         self.ends[ends] = True
@@ -152,64 +153,55 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words that are not known. A stem of letters is one unit to the tokenizer, so many are encoded in one
-        call and told apart by the ends of units; the case of plain letters does not count, and marks after a stem
-        begin a new unit."""
-        known, stems, whole = self.words, {}, []
+    def learn(self, words: Iterable[str]) -> None:
+        """Encode words that are not known. Plain letters are one unit to the tokenizer and marks after them another,
+        so many such words are encoded in one call and told apart by the ends of units."""
+        joined, units, alone = [], [], []
         for word in words:
             stem = word.rstrip(MARKS)
-            if stem.isalpha() and max(stem) < PLAIN:
-                stems[word] = (stem.lower(), word[len(stem) :])
+            if stem.isalpha() and (stem.isascii() or max(stem) < PLAIN):
+                joined.append(word)
+                units.append(1 if len(stem) == len(word) else 2)
             else:
-                whole.append(word)
-        parts = {x for pair in stems.values() for x in pair} - known.keys() - self.older.keys()
-        alone = [*whole, *(x for x in parts if not x.isalpha())]
-        joined = [x for x in parts if x.isalpha()]
+                alone.append(word)
         for k in range(0, len(joined), 512):
             part = joined[k : k + 512]
-            ids = np.array(self.batch([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(part):
-                for word, x in zip(part, np.split(ids, ends[:-1]), strict=True):
-                    known[word] = x.tobytes()
+            ids = np.array(self.batch([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids])
+            last = np.cumsum(units[k : k + 512]) - 1
+            if len(ends) == last[-1] + 1:
+                size = np.dtype(self.kind).itemsize
+                stops = ((ends[last] + 1) * size).tolist()
+                raw = ids.astype(self.kind).tobytes()
+                self.words.update(zip(part, [raw[a:b] for a, b in zip([0, *stops], stops)]))  # noqa: B905
             else:  # a vocabulary whose units do not end visibly
                 alone += part
         for k in range(0, len(alone), 4096):
             part = alone[k : k + 4096]
             for word, e in zip(part, self.batch(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-        for word, (stem, tail) in stems.items():
-            known[word] = self.of(stem) + self.of(tail)
-
-    def of(self, word: str) -> bytes:
-        found = self.words.get(word)
-        return self.older[word] if found is None else found
+                self.words[word] = np.array(e.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
+        """Each text's ids."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        known, older, new = self.words, self.older, []
-        for word in set().union(*split):
-            if word not in known:
-                if (found := older.get(word)) is None:
-                    new.append(word)
-                else:
-                    known[word] = found
-        self.learn(new)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        if len(known) >= MOST_WORDS:
-            self.older, self.words = known, {}
+        new = set().union(*split).difference(self.words)
+        old = new.intersection(self.older)
+        self.words.update((w, self.older[w]) for w in old)
+        self.learn(new.difference(old))
+        known = self.words.__getitem__
+        out = [b"".join(map(known, words)) for words in split]
+        if len(self.words) >= MOST_WORDS:
+            self.older, self.words = self.words, {}
         return out
 
 
 _encoders: dict[str, WordEncoder] = {}
 
 
-def word_encoder(data: bytes) -> WordEncoder:
-    key = hashlib.sha256(data).hexdigest()
+def word_encoder(data: bytes, kind: str = "<u4") -> WordEncoder:
+    key = hashlib.sha256(data).hexdigest() + kind
     if key not in _encoders:
-        _encoders[key] = WordEncoder(data)
+        _encoders[key] = WordEncoder(data, kind)
     return _encoders[key]
 
 
@@ -223,7 +215,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, to: str | None
     """Encode whole texts, append end_id to each, and write files in ascending order of the id column below `to`.
 
     Returns one row per file: part, uri, n_docs, n_tokens, in the order of the ids. Null texts count as empty and get
-    the end id alone; rows with a null id come first, with id 0 in the file's index if there is none better; repeated
+    the end id alone; rows with a null id come first and keep it; repeated
     ids stay next to each other. Further columns are ignored. An empty table writes nothing.
     """
     spark = docs.sparkSession
@@ -240,10 +232,10 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, to: str | None
     cuts = exact_splitters(slim.where("doc_id is not null"), F.col("doc_id"), size, [k / parts for k in range(1, parts)], [0.1 * total / parts] * (parts - 1), bins=max(4096, 4 * parts))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use = word_encoder(vocab.value)
+        use = word_encoder(vocab.value, kind)
         tail = np.array([end_id], kind).tobytes()
         for batch in batches:
-            ids = [np.frombuffer(x, "<u4").astype(kind).tobytes() + tail for x in use.encode(texts_of(batch))]
+            ids = [x + tail for x in use.encode(texts_of(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,14 +252,14 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, to: str | None
                     end()
                     now, uri = part, f"{to}/ids-{part:05d}.lqp"
                     out = Writer(uri, width)
-                out.add(doc_id or 0, np.frombuffer(ids, kind))
+                out.add(doc_id, np.frombuffer(ids, kind))
         end()
         cols = list(zip(*done, strict=True)) or [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["part", "uri", "n_docs", "n_tokens"])
 
     coded = slim.mapInArrow(encode, "doc_id long, ids binary")
-    dealt = with_part(coded, F.col("doc_id"), cuts, "part").select(F.coalesce("part", F.lit(0)).alias("part"), "doc_id", "ids")
-    files = dealt.repartition(parts, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids").mapInArrow(write, "part int, uri string, n_docs long, n_tokens long")
+    dealt = with_part(coded, F.col("doc_id"), cuts, "part").select(F.coalesce("part", F.lit(0)).cast("int").alias("part"), "doc_id", "ids")
+    files = dealt.repartitionById(parts, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "ids").mapInArrow(write, "part int, uri string, n_docs long, n_tokens long")
     rows = sorted(tuple(r) for r in files.collect())  # one short row for each file
     return spark.createDataFrame(rows, "part int, uri string, n_docs long, n_tokens long")
 

@@ -39,7 +39,6 @@ def test_file_random_access(tmp_path):
 
 def expected(rows, end_id=1):
     lib = Tokenizer.from_file(PATH)
-    lib.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in sorted(rows):
         ids = np.array(lib.encode(text or "", add_special_tokens=False).ids + [end_id], "<u4")
@@ -59,11 +58,12 @@ def test_documents(spark, sf_dir, monkeypatch):
 
 def test_words_equal_the_library():
     lib = Tokenizer.from_file(PATH)
-    lib.encode_special_tokens = True
     use = bitpack.WordEncoder(open(PATH, "rb").read())
     rnd = np.random.default_rng(3)
     letters = list("abcdefgXYZéÉßüñ'´İΣς1²९,.!?#$|\n\t \u00a0\u0301한😀")
+    letters += ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "endoftext"]
     texts = ["".join(rnd.choice(letters, rnd.integers(0, 60))) for _ in range(1500)]
+    texts += ["a<|endoftext|>b", "<|startoftext|><|endoftext|>", "word<|endoftext|>", "X<|ENDOFTEXT|>", " ".join(f"hapax{k}, Word{k:x}." for k in range(3000))]
     for k in range(0, len(texts), 50):
         got = use.encode(texts[k : k + 50])
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in lib.encode_batch(texts[k : k + 50], add_special_tokens=False)]
@@ -74,3 +74,5 @@ def test_odd_rows(spark):
     got = [tuple(r) for r in read_ids(write_ids(spark.createDataFrame(rows, "doc_id long, text string, part int"), PATH, 1)).collect()]
     assert sorted(got) == expected([r[:2] for r in sorted(rows, key=lambda r: r[0])])
     assert read_ids(write_ids(spark.createDataFrame([], "doc_id long, text string"), PATH, 1)).count() == 0
+    none = spark.createDataFrame([(0, "zero"), (None, "none"), (None, None)], "doc_id long, text string")
+    assert sorted((r.doc_id is None, r.start, r.n_tokens) for r in read_ids(write_ids(none, PATH, 1)).collect()) == [(False, 3, 2), (True, 0, 1), (True, 1, 2)]
