@@ -154,40 +154,45 @@ class WordEncoder:
         self.older: dict[str, bytes] = {}
 
     def learn(self, words: Iterable[str]) -> None:
-        """Encode words that are not known. Plain letters are one unit to the tokenizer and marks after them another,
-        so many such words are encoded in one call and told apart by the ends of units."""
-        joined, units, alone = [], [], []
+        """Encode words that are not known. Plain letters are one unit to the tokenizer, whatever their case, and marks
+        after them another, so only stems and marks are encoded, many stems in one call and told apart by the ends of
+        units."""
+        known, joined, stems, tails, alone = self.words, [], [], [], []
         for word in words:
             stem = word.rstrip(MARKS)
             if stem.isalpha() and (stem.isascii() or max(stem) < PLAIN):
                 joined.append(word)
-                units.append(1 if len(stem) == len(word) else 2)
+                stems.append(stem.lower())
+                tails.append(word[len(stem) :])
             else:
                 alone.append(word)
-        for k in range(0, len(joined), 512):
-            part = joined[k : k + 512]
+        new = list(set(stems).difference(known))
+        alone += set(tails).difference(known)
+        for k in range(0, len(new), 512):
+            part = new[k : k + 512]
             ids = np.array(self.batch([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids])
-            last = np.cumsum(units[k : k + 512]) - 1
-            if len(ends) == last[-1] + 1:
-                size = np.dtype(self.kind).itemsize
-                stops = ((ends[last] + 1) * size).tolist()
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(part):
+                stops = (ends * np.dtype(self.kind).itemsize).tolist()
                 raw = ids.astype(self.kind).tobytes()
-                self.words.update(zip(part, [raw[a:b] for a, b in zip([0, *stops], stops)]))  # noqa: B905
+                known.update(zip(part, [raw[a:b] for a, b in zip([0, *stops], stops)]))  # noqa: B905
             else:  # a vocabulary whose units do not end visibly
                 alone += part
         for k in range(0, len(alone), 4096):
             part = alone[k : k + 4096]
             for word, e in zip(part, self.batch(part, add_special_tokens=False), strict=True):
-                self.words[word] = np.array(e.ids, self.kind).tobytes()
+                known[word] = np.array(e.ids, self.kind).tobytes()
+        known.update(zip(joined, [known[stem] + known[tail] if tail else known[stem] for stem, tail in zip(stems, tails)]))  # noqa: B905
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         new = set().union(*split).difference(self.words)
-        old = new.intersection(self.older)
-        self.words.update((w, self.older[w]) for w in old)
-        self.learn(new.difference(old))
+        if self.older:
+            again = {w: x for w in new if (x := self.older.get(w)) is not None}
+            self.words.update(again)
+            new.difference_update(again)
+        self.learn(new)
         known = self.words.__getitem__
         out = [b"".join(map(known, words)) for words in split]
         if len(self.words) >= MOST_WORDS:
