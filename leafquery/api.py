@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafquery.functions.names import normalize
@@ -67,8 +67,10 @@ class Engine:
         if got.to:
             kind, options = got.to
             path = options.get("path") or options.get("EXPORT")
-            if path:
-                sinks.write(df, got.columns, "CSV" if kind == "TABLE" else kind, path, single)
+            if path and got.table:
+                sinks.write_table(df, ("PARQUET" if path.lower().endswith(".parquet") else "CSV") if kind == "TABLE" else kind, path, kind != "TABLE" or not ("NOHEADER" in options or options.get("HEADER", "ON") == "OFF"))
+            elif path:
+                sinks.write(df, got.columns, kind, path, single)
         return df
 
     def script(self, text: str, go_on: bool = False) -> list[DataFrame | QueryError]:
@@ -105,12 +107,14 @@ class Engine:
         return out
 
     def summarize(self, top: int = 20) -> dict[str, DataFrame]:
-        """Node count, most frequent tags and attribute names of each document."""
+        """Node count, and the `top` most frequent tags and attribute names of each document (by name on ties)."""
         from leafquery.sources.html import parse_pages
 
         n = parse_pages(self.pages, frozenset()).select("doc_id", F.explode("nodes").alias("n"))
-        tags = n.groupBy("doc_id", F.col("n.tag").alias("tag")).agg(F.count("*").alias("count"))
-        keys = n.select("doc_id", F.explode(F.map_keys("n.attributes")).alias("attribute")).groupBy("doc_id", "attribute").agg(F.count("*").alias("count"))
+        by = lambda df, c: df.groupBy("doc_id", c).agg(F.count("*").alias("count"))
+        best = lambda df, c: df.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("count"), c))).where(F.col("n") <= top).drop("n")
+        tags = best(by(n.select("doc_id", "n.tag"), "tag"), "tag")
+        keys = best(by(n.select("doc_id", F.explode(F.map_keys("n.attributes")).alias("attribute")), "attribute"), "attribute")
         return {"nodes": n.groupBy("doc_id").agg(F.count("*").alias("total_nodes")), "tags": tags, "attributes": keys}
 
 

@@ -5,6 +5,8 @@ Orders with their lines are rendered as one page each, read by the engine, and c
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -120,12 +122,17 @@ add(
 add("derived_table", "SELECT d.no, d.parent_id FROM (SELECT li.data-no AS no FROM doc WHERE class = 'N') AS d WHERE d.no <> 1", L + "SELECT doc_id, no, CAST(4 AS BIGINT) AS parent_id FROM l WHERE l_returnflag = 'N' AND l_linenumber <> 1")
 add("parse_fragments", "SELECT COUNT(span) FROM PARSE(SELECT RAW_INNER_HTML(li, MAX_DEPTH) FROM doc WHERE data-no <= 4) AS f", L + "SELECT doc_id, 2 * count(*) AS count FROM l WHERE l_linenumber <= 4 GROUP BY 1")
 add("raw_source", "SELECT li.text AS t, li.sibling_pos FROM RAW('<ul><li>a<li>b &lt; c</ul>')", "SELECT CAST(0 AS BIGINT) AS doc_id, t, p AS sibling_pos FROM (VALUES ('a', CAST(1 AS BIGINT)), ('b < c', CAST(2 AS BIGINT))) v(t, p)")
+add("join_axes", "SELECT a.data-no AS no, b.text AS qty FROM doc AS a JOIN doc AS b ON b.parent_id = a.node_id AND b.class = 'qty' WHERE a.tag = 'li' AND a.child.text = 50 AND a.ancestor.class = 'F'", L + "SELECT doc_id, no, qty FROM l WHERE (CAST(l_quantity AS INT) = 50 OR l_partkey = 50) AND o_orderstatus = 'F'")
+add("join_exists", "SELECT a.data-no AS no, b.tag FROM doc AS a JOIN doc AS b ON a.parent_id = b.node_id WHERE a.tag = 'li' AND EXISTS(child WHERE class = 'qty' AND text > 45)", L + "SELECT doc_id, no, 'ul' AS tag FROM l WHERE CAST(l_quantity AS INT) > 45")
+add("join_count_zero", "SELECT COUNT(*) AS n FROM doc AS a JOIN doc AS b ON b.parent_id = a.node_id AND b.text = 50 WHERE a.tag = 'li'", L + "SELECT doc_id, CAST(coalesce(sum(CASE WHEN CAST(l_quantity AS INT) = 50 THEN 1 ELSE 0 END + CASE WHEN l_partkey = 50 THEN 1 ELSE 0 END), 0) AS BIGINT) AS n FROM l GROUP BY 1")
+add("join_count_corpus", "SELECT COUNT(*) AS n FROM doc AS a JOIN doc AS b ON b.parent_id = a.node_id WHERE a.tag = 'li'", L + "SELECT CAST(0 AS BIGINT) AS doc_id, 2 * count(*) AS n FROM l", scope="corpus")
+add("lateral_count", "SELECT u.data-no AS no, c.n FROM doc AS u CROSS JOIN LATERAL (SELECT COUNT(*) AS n FROM doc AS x WHERE x.parent_id = u.node_id AND x.text > 40) AS c WHERE u.tag = 'li'", L + "SELECT doc_id, no, CAST(CASE WHEN CAST(l_quantity AS INT) > 40 THEN 1 ELSE 0 END + CASE WHEN l_partkey > 40 THEN 1 ELSE 0 END AS BIGINT) AS n FROM l")
+add("order_limit_corpus", "SELECT article.data-id AS id FROM doc WHERE tag = 'article' ORDER BY max_depth DESC, text LIMIT 5", L + "SELECT doc_id, CAST(doc_id AS VARCHAR) AS id FROM (SELECT doc_id, ' ' || any_value(o_orderpriority) || ' ' || string_agg(qty || part || ' note ' || l_linestatus, '' ORDER BY r) || 'Customer ' || any_value(o_custkey) || ' & co' AS t FROM l GROUP BY 1) ORDER BY t, doc_id LIMIT 5", scope="corpus")
+add("regex_dollar", "SELECT REGEX_REPLACE(TEXT(h3), '([0-9])-', 'US$$$1$5$') AS t, REGEX_REPLACE(TEXT(h3), '[[-]', '\\$&') AS u FROM doc WHERE text LIKE '%-%' AND tag = 'h3'", L + "SELECT doc_id, ' ' || replace(regexp_replace(o_orderpriority, '([0-9])-', 'US#\\1#'), '#', chr(36)) || ' ' AS t, ' ' || replace(o_orderpriority, '-', chr(92) || '-') || ' ' AS u FROM o")
 N = "WITH n AS (SELECT CAST(n_regionkey AS BIGINT) AS doc_id, CAST(n_nationkey AS VARCHAR) AS k, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r, n_nationkey % 2 = 0 AS even FROM nation) "
 add("table_rect", "SELECT table FROM doc TO TABLE(TRIM_EMPTY_ROWS=ON, TRIM_EMPTY_COLS=ALL)", N + "SELECT doc_id, CAST(2 AS BIGINT) AS node_id, r + 1 AS row_index, k || '|' || n_name || '|' || CASE WHEN even THEN 'even' ELSE '' END AS row FROM n UNION ALL SELECT DISTINCT doc_id, 2, 1, 'key|Nation\n Nation|key' FROM n", pages=nation_pages, keep="doc_id; node_id; row_index; array_join(cells, '|', '') as row")
 add("table_long", "SELECT table FROM doc TO TABLE(FORMAT=SPARSE, SPARSE_SHAPE=LONG, HEADER_NORMALIZE=ON)", N + "SELECT doc_id, CAST(2 AS BIGINT) AS node_id, r AS row_index, c.i AS col_index, c.h AS header, CASE c.i WHEN 1 THEN k WHEN 2 THEN n_name ELSE 'even' END AS value FROM n, (VALUES (CAST(1 AS BIGINT), 'key'), (CAST(2 AS BIGINT), 'Nation'), (CAST(4 AS BIGINT), 'key_2')) c(i, h) WHERE c.i < 4 OR even", pages=nation_pages)
 add("table_wide", "SELECT table FROM doc TO TABLE(FORMAT=SPARSE, SPARSE_SHAPE=WIDE, STOP_AFTER_EMPTY_ROWS=1)", N + "SELECT doc_id, r AS row_index, k AS key, n_name AS name, CASE WHEN even THEN 'even' END AS other FROM n UNION ALL SELECT doc_id, max(r) + 1, NULL, NULL, NULL FROM n GROUP BY 1", pages=nation_pages, keep="doc_id; row_index; cells['key'] as key; cells['Nation\\n Nation'] as name; cells['key_2'] as other")
-add("show_operators", "SHOW OPERATORS", "SELECT count(*) AS n FROM (SELECT unnest(range(14)))", keep="1 as one")
-QUERIES["show_operators"] = lambda spark, sf_dir: Engine(spark).execute("SHOW OPERATORS").groupBy().agg(F.count("*").alias("n"))
 QUERIES["describe_doc"] = lambda spark, sf_dir: Engine(spark).execute("DESCRIBE doc").select("column_name", "type", "nullable")
 ORACLES["describe_doc"] = "SELECT * FROM (VALUES ('node_id', 'int64', 'false'), ('tag', 'string', 'false'), ('attributes', 'map<string,string>', 'false'), ('parent_id', 'int64', 'true'), ('max_depth', 'int64', 'false'), ('doc_order', 'int64', 'false'), ('sibling_pos', 'int64', 'false'), ('source_uri', 'string', 'true')) v(column_name, type, nullable)"
 
@@ -142,7 +149,7 @@ def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tfidf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TF-IDF of the documents table through the engine's operator, over the corpus."""
     docs = table(spark, sf_dir, "documents").select(F.lit("p").alias("tag"), F.col("doc_id").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), terms.tokens(F.col("text")).alias("terms"))
-    out = terms.tfidf(docs, [], top=3, min_df=2, stopwords=False)
+    out = terms.tfidf(docs, [], top=3, min_df=2)
     return out.select("node_id", F.explode("terms_score").alias("term", "score")).select("node_id", "term", F.round("score", 6).alias("score"))
 
 
@@ -151,23 +158,65 @@ def content_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What TO CSV writes for each row."""
-    got = Engine(spark, order_pages(spark, sf_dir)).plan("SELECT article.data-id AS id, TEXT(h3) AS t FROM doc WHERE class IS NOT NULL AND tag = 'article'")
-    out = sinks.as_text(got.df.withColumn("t", F.lit('a,"b"')), ["id", "t"])
-    return out.select(sinks.csv_line([F.col("id"), F.col("t")]).alias("line"))
+    """What TO CSV writes, line by line: a header in each part, quotes around values that need them."""
+    at = f"{fresh()}/csv"
+    Engine(spark, order_pages(spark, sf_dir)).execute(f"SELECT article.data-id AS id, CONCAT('a,\"', data-id, '\"') AS t FROM doc WHERE class IS NOT NULL AND tag = 'article' TO CSV('{at}')")
+    return spark.read.text(at).where("value != 'id,t'").select(F.col("value").alias("line"))
 
 
-QUERIES |= {"page_links": page_links, "page_ads": page_articles, "tfidf": tfidf_documents, "summarize_content": content_tokens, "csv_lines": csv_lines}
-_TOKENS = "string_split_regex(translate(regexp_replace(text, '<[^>]*>', ' ', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9_]+')"
+def csv_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{fresh()}/csv"
+    Engine(spark, order_pages(spark, sf_dir)).execute(f"SELECT li.data-no AS no, li.class FROM doc WHERE sibling_pos = 1 AND tag = 'li' TO CSV('{at}')")
+    return spark.read.csv(at, header=True)
+
+
+def json_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TO JSON is one array: read whole and taken apart."""
+    at = f"{fresh()}/json"
+    Engine(spark, order_pages(spark, sf_dir)).execute(f"SELECT article.data-id AS id, article.none FROM doc WHERE tag = 'article' TO JSON('{at}')")
+    one = spark.read.text(at, wholetext=True).select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("m"))
+    return one.select(F.col("m.id").alias("id"), F.col("m.none").alias("none"), F.size("m").alias("n"))
+
+
+def table_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of the one table of a page as CSV."""
+    at = f"{fresh()}/table"
+    pages = nation_pages(spark, sf_dir).where("doc_id = 2")
+    Engine(spark, pages).execute(f"SELECT table FROM doc TO TABLE(TRIM_EMPTY_ROWS=ON, TRIM_EMPTY_COLS=ALL, HEADER=OFF, EXPORT='{at}')")
+    return spark.read.csv(at, header=True, multiLine=True, escape='"').where("col1 != 'key'").select("col1", "col2")
+
+
+def table_long_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{fresh()}/long"
+    pages = nation_pages(spark, sf_dir).where("doc_id = 3")
+    Engine(spark, pages).execute(f"SELECT table FROM doc TO TABLE(FORMAT=SPARSE, SPARSE_SHAPE=LONG, EXPORT='{at}')")
+    return spark.read.csv(at, header=True, multiLine=True, escape='"').where("col_index = '2'").select("row_index", "header", "value")
+
+
+def fresh() -> str:
+    """A folder for what a query writes and reads back; below the shared one where there is one."""
+    spark = SparkSession.active()
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='leafquery-')}"
+    return f"{base.rstrip('/')}/leafquery-out-{uuid.uuid4().hex}"
+
+
+QUERIES |= {"page_links": page_links, "page_ads": page_articles, "tfidf": tfidf_documents, "summarize_content": content_tokens, "csv_lines": csv_lines, "csv_read_back": csv_read_back, "json_read_back": json_read_back, "table_csv": table_csv, "table_long_csv": table_long_csv}
+# The words that TFIDF and content summaries leave out by default, as SQL.
+_STOP = "'a','an','and','are','as','at','be','but','by','for','from','has','have','he','her','his','i','in','is','it','its','of','on','or','she','that','the','their','they','to','was','were','with','you'"
+_TOKENS = "string_split_regex(translate(regexp_replace(text, '<[^>]*(>|$)', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9_]+')"
 ORACLES |= {
     "page_links": """WITH p AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>'), '<a href="[^"]*">[^<]*</a>')) AS a FROM pages)
 SELECT doc_id, regexp_extract(a, 'href="([^"]*)"', 1) AS href, replace(regexp_extract(a, '>([^<]*)<', 1), '&amp;', '&') AS t FROM p""",
     "page_ads": """SELECT page_id AS doc_id, trim(regexp_replace(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1), '\\s+', ' ', 'g')) AS ad FROM pages""",
-    "tfidf": f"""WITH t AS (SELECT doc_id AS node_id, unnest(list_filter({_TOKENS}, lambda x: x <> '')) AS term FROM documents),
+    "tfidf": f"""WITH t AS (SELECT doc_id AS node_id, unnest(list_filter({_TOKENS}, lambda x: x NOT IN ('', {_STOP}))) AS term FROM documents),
 c AS (SELECT node_id, term, count(*) AS c FROM t GROUP BY 1, 2), n AS (SELECT node_id, count(*) AS total FROM t GROUP BY 1), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
 s AS (SELECT c.node_id, c.term, c.c / n.total * (ln(((SELECT count(*) FROM documents) + 1) / (d.df + 1)) + 1) AS score FROM c JOIN n USING (node_id) JOIN d USING (term) WHERE d.df >= 2)
 SELECT node_id, term, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY score DESC, term) AS r FROM s) WHERE r <= 3""",
     "summarize_content": f"""SELECT term AS token, count(*) AS count FROM (SELECT unnest(list_filter({_TOKENS}, lambda x: x <> '')) AS term FROM documents)
-WHERE term NOT IN ({", ".join(repr(w) for w in sorted(terms.STOPWORDS))}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""",
-    "csv_lines": L + "SELECT CAST(doc_id AS VARCHAR) || ',' || chr(34) || 'a,' || repeat(chr(34), 2) || 'b' || repeat(chr(34), 3) AS line FROM o",
+WHERE term NOT IN ({_STOP}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""",
+    "csv_lines": L + "SELECT CAST(doc_id AS VARCHAR) || ',' || chr(34) || 'a,' || repeat(chr(34), 2) || CAST(doc_id AS VARCHAR) || repeat(chr(34), 3) AS line FROM o",
+    "csv_read_back": L + "SELECT no, 'line ' || l_returnflag AS class FROM l WHERE r = 1",
+    "json_read_back": L + "SELECT CAST(doc_id AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS none, 2 AS n FROM o",
+    "table_csv": "SELECT CAST(n_nationkey AS VARCHAR) AS col1, n_name AS col2 FROM nation WHERE n_regionkey = 2",
+    "table_long_csv": "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS VARCHAR) AS row_index, 'Nation\n Nation' AS header, n_name AS value FROM nation WHERE n_regionkey = 3",
 }

@@ -9,14 +9,16 @@ from leafquery.functions import text as fn
 
 # Common English words that carry no topic.
 STOPWORDS = frozenset(
-    "a an and are as at be been but by for from had has have he her his if in into is it its no not of on or our she so such that the their them then there these they this those to was we were what when where which who will with you your i me my do does did can could would should about after all also any because before between both during each few more most other over own same some than too under until up very".split()
+    "a an and are as at be but by for from has have he her his i in is it its of on or she that the their they to was were with you".split()
 )
+#: Comments, scripted elements to their ends, and tags; what is not closed goes to the end of the text.
+_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<script.*?(?:</script>|\z)|<style.*?(?:</style>|\z)|<noscript.*?(?:</noscript>|\z)|<[^>]*+(?:>|\z)"
 
 
 def tokens(markup: Column) -> Column:
     """Lower-case runs of letters, digits and _ of the text in some markup, without scripts, styles and comments."""
-    plain = F.regexp_replace(markup, r"(?is)<!--.*?-->|<(script|style|noscript)\b.*?</\1\s*>|<!\[CDATA\[.*?\]\]>", " ")
-    return F.filter(F.split(fn.lower(F.regexp_replace(plain, r"<[^>]*>", " ")), r"[^a-z0-9_]+"), lambda t: t != "")
+    plain = F.regexp_replace(markup, _MARKUP, "")
+    return F.filter(F.split(fn.lower(plain), r"[^a-z0-9_]+"), lambda t: t != "")
 
 
 def summarize(rows: DataFrame, by: list[str]) -> DataFrame:

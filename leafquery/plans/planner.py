@@ -17,7 +17,7 @@ from leafquery.lang.ast import FIELDS, And, Call, Case, Compare, Contains, Exist
 from leafquery.lang.lexer import QueryError
 from leafquery.lang.parser import parse
 from leafquery.operators import meta, tables, terms
-from leafquery.plans.scope import Project, Scope, _all, _any, apply
+from leafquery.plans.scope import Project, Scope, _all, _any, apply, depth_limited
 from leafquery.sources.html import TEXTS, parse_pages
 
 CORE = ["node_id", "tag", "attributes", "parent_id", "max_depth", "doc_order"]
@@ -33,6 +33,7 @@ class Result:
     columns: list[str]
     to: tuple[str, dict] | None = None
     warnings: list[str] = field(default_factory=list)
+    table: bool = False
 
 
 def walk(e):
@@ -106,12 +107,21 @@ def needed_texts(q) -> frozenset:
     return frozenset(text & set(TEXTS))
 
 
+def readers(q: Select) -> int:
+    """How many sources of a statement read the loaded pages, or may."""
+    out = sum(readers(c) for _, c in q.ctes)
+    for s in [q.source, *[j.source for j in q.joins]]:
+        out += readers(s.value) if isinstance(s.value, Select) else s.kind == "doc" or s.kind == "name" and s.value.lower() not in {n.lower() for n, _ in q.ctes}
+    return out
+
+
 class Planner:
     """pages: doc_id, source_uri, html. scope: `document` (counts and limits hold in each document) or `corpus`."""
 
     def __init__(self, spark: SparkSession, pages: DataFrame | None = None, scope: str = "document"):
         self.spark, self.pages, self.scope = spark, pages, scope
         self.parsed: dict[frozenset, DataFrame] = {}
+        self.readers = 1
 
     def run(self, text: str) -> Result:
         q = parse(text)
@@ -119,7 +129,7 @@ class Planner:
             df = meta.table_of(self.spark, q.kind)
             return Result(df, df.columns)
         self.check(q)
-        self.need = needed_texts(q)
+        self.need, self.readers = needed_texts(q), readers(q)
         return self.select(q, {}, top=True)
 
     # checks
@@ -164,7 +174,9 @@ class Planner:
             if self.pages is None:
                 raise QueryError("RUN-0001", "no document is loaded")
             if self.need not in self.parsed:
-                self.parsed[self.need] = parse_pages(self.pages, self.need)
+                parsed = parse_pages(self.pages, self.need)
+                # several aliases read the parsed pages from one exchange, which also deals the joins by document
+                self.parsed[self.need] = parsed.repartition("doc_id") if self.readers > 1 else parsed
             return self.parsed[self.need]
         if s.kind == "parse" and isinstance(s.value, Select):
             return self.fragments(s.value, ctes)
@@ -172,7 +184,9 @@ class Planner:
             if "://" in s.value and s.value.split("://")[0] in ("http", "https"):
                 raise QueryError("RUN-0002", "network sources must be loaded by the caller")
             files = self.spark.read.text(s.value, wholetext=True)
-            one = files.select(F.lit(0).cast("long").alias("doc_id"), F.lit(s.value).alias("source_uri"), F.col("value").alias("html"))
+            several = len(files.inputFiles()) > 1  # each file is a document of its own
+            file = F.col("_metadata.file_path")
+            one = files.select((F.xxhash64(file) if several else F.lit(0).cast("long")).alias("doc_id"), (file if several else F.lit(s.value)).alias("source_uri"), F.col("value").alias("html"))
         else:
             html = s.value if s.kind == "raw" else constant(s.value)
             if len(html.encode()) > MOST_RAW:
@@ -226,7 +240,7 @@ class Planner:
         rows = F.filter(nodes, keep) if tags or where is not None else nodes
         if q.order and first.kind not in ("count", "summarize"):
             rows = F.array_sort(rows, order_of(q.order))
-        limit = q.limit if self.scope == "document" else None
+        limit = q.limit if self.scope == "document" or first.kind not in ("count", "summarize", "tfidf") else None
         if limit is not None:
             rows = F.slice(rows, 1, limit)
         if first.kind == "count":
@@ -251,7 +265,7 @@ class Planner:
         if first.kind == "tag" and first.tag == "table" and len(q.items) == 1 and q.to and q.to[0] in ("TABLE", "CSV", "PARQUET"):
             cells = picked.select("doc_id", "nodes", F.explode("rows").alias("t")).select("doc_id", F.col("t.node_id").alias("node_id"), tables.cells_of(F.col("t"), nodes).alias("cells"))
             df = tables.to_table(cells, q.to[1] if q.to[0] == "TABLE" else {})
-            return Result(df, [c for c in df.columns if c not in ("doc_id",)])
+            return Result(df, [c for c in df.columns if c not in ("doc_id",)], table=True)
         columns: list[str] = []
 
         def row(n: Column) -> Column:
@@ -293,7 +307,9 @@ class Planner:
 
         df = picked.select("doc_id", F.posexplode(F.transform("rows", row)).alias("__ord", "r")).select("doc_id", F.col("__ord").cast("long").alias("__ord"), "r.*")
         if q.limit is not None and self.scope == "corpus":
-            df = df.orderBy("doc_id", "__ord").limit(q.limit)
+            by = [F.col("__hidden")[c.lower()] for _, c, _ in q.order]
+            keys = [k.desc_nulls_first() if d else k.asc_nulls_last() for k, (_, _, d) in zip(by, q.order, strict=True)]
+            df = df.orderBy(*keys, "doc_id", "__ord").limit(q.limit)
         return Result(df, columns)
 
     def tag_filter(self, q: Select, alias: str) -> list[str]:
@@ -328,8 +344,9 @@ class Planner:
         doc = F.col("doc_id") if "doc_id" in df.columns else F.lit(0).cast("long")
         return df.select(doc.alias("doc_id"), F.array(ord_).alias("__key") if "array" not in dict(df.dtypes).get("__ord", "") else ord_.alias("__key"), F.struct(*inside).alias("r"))
 
-    def source_rows(self, s: Source, ctes: dict) -> tuple[str, DataFrame]:
-        """alias and rows (doc_id, __key, r)."""
+    def source_rows(self, s: Source, ctes: dict, deep: list | None = None) -> tuple[str, DataFrame]:
+        """alias and rows (doc_id, __key, r). deep: conditions on children, ancestors and descendants; those of this alias
+        become columns of r, as long as the document's other nodes are at hand."""
         if s.kind == "query":
             return s.alias, self.relation_of(s.value, ctes)
         if s.kind == "name" and s.value.lower() in ctes:
@@ -340,28 +357,37 @@ class Planner:
         up = F.get(F.col("nodes"), n["parent_id"].cast("int"))
         parent = F.struct(*[up[c].alias(c) for c in ("node_id", "tag", "attributes", "parent_id", "max_depth", "doc_order", "sibling_pos", "text")]).alias("__parent")
         rows = docs.select("doc_id", "source_uri", "nodes", F.explode("nodes").alias("n"))
-        return alias, rows.select("doc_id", F.array(n["doc_order"]).alias("__key"), F.struct(*[n[h].alias(h) for h in HIDDEN], F.col("source_uri"), parent).alias("r"))
+        scope = Scope(n, F.col("nodes"), F.col("source_uri"), alias.lower())
+        tests = [F.coalesce(scope.test(t.expr), F.lit(False)).alias(t.name) for t in deep or [] if t.alias in (None, alias.lower())]
+        return alias, rows.select("doc_id", F.array(n["doc_order"]).alias("__key"), F.struct(*[n[h].alias(h) for h in HIDDEN], F.col("source_uri"), parent, *tests).alias("r"))
 
     def relation_select(self, q: Select, ctes: dict) -> Result:
         if any(i.kind in ("project", "flatten", "tfidf", "summarize") for i in q.items):
             raise QueryError("SEM-0305", "PROJECT, FLATTEN, TFIDF and SUMMARIZE do not go with joins; put them into a CTE")
-        alias, rows = self.source_rows(q.source, ctes)
-        rel = Relation(rows.select("doc_id", "__key", F.col("r").alias(alias)), [alias])
+        deep = deep_tests(q)
+        alias, rows = self.source_rows(q.source, ctes, deep)
+        rel = Relation(rows.select("doc_id", "__key", F.col("r").alias(alias)), [alias], deep)
         for j in q.joins:
             rel = self.join(rel, j, ctes)
         if q.where is not None:
-            rel.df = rel.df.where(rel.test(q.where))
+            rel.df = rel.df.where(rel.join_test(q.where))
         first = q.items[0]
         if first.kind == "count":
             df = rel.df
             if q.limit is not None:
                 df = limited(df, ["doc_id"], [F.asc("__key")], q.limit)
             name = first.alias or "count"
-            return Result(df.groupBy("doc_id").agg(F.count("*").alias(name)), [name])
+            if self.scope == "corpus":
+                return Result(df.agg(F.count("*").alias(name)).select(F.lit(0).cast("long").alias("doc_id"), name), [name])
+            counts = df.groupBy("doc_id").agg(F.count("*").alias(name))
+            every = self.pages.select("doc_id").distinct() if self.pages is not None and self.readers else rows.select("doc_id").union(self.spark.range(1).select("id")).distinct()
+            return Result(every.join(counts, "doc_id", "left").select("doc_id", F.coalesce(name, F.lit(0).cast("long")).alias(name)), [name])
         order = [rel.sort_key(Operand(a, "self", c.lower()) if c.lower() in FIELDS else Operand(a, "self", "attribute", c, a is None), d) for a, c, d in q.order]
         keys = [k for ks in order for k in ks] + [F.asc("__key")]
         df = rel.df
-        if q.order or q.limit is not None:
+        if q.limit is not None and self.scope == "corpus":  # at most MOST_LIMIT rows are numbered
+            df = df.orderBy(*keys, "doc_id").limit(q.limit).withColumn("__n", F.row_number().over(Window.orderBy(*keys, "doc_id")))
+        elif q.order or q.limit is not None:
             df = df.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*keys)))
             if q.limit is not None:
                 df = df.where(F.col("__n") <= q.limit)
@@ -389,33 +415,37 @@ class Planner:
     def join(self, left: Relation, j, ctes: dict) -> Relation:
         if j.kind == "lateral":
             return self.lateral(left, j.source, ctes)
-        alias, rows = self.source_rows(j.source, ctes)
+        alias, rows = self.source_rows(j.source, ctes, left.deep)
         if alias.lower() in [a.lower() for a in left.aliases]:
             raise QueryError("SEM-0201", f"the alias {alias} is used twice")
         right = rows.select(F.col("doc_id").alias("__doc"), F.col("__key").alias("__right"), F.col("r").alias(alias))
-        both = Relation(left.df.crossJoin(right), [*left.aliases, alias])
+        both = Relation(left.df.crossJoin(right), [*left.aliases, alias], left.deep)
         cond = left.df["doc_id"] == right["__doc"]
         if j.on is not None:
-            on = both.join_test(j.on, [a.lower() for a in left.aliases])
+            on = both.join_test(j.on)
             cond = cond & on
         df = left.df.join(right, cond, "left" if j.kind == "left" else "inner")
         df = df.withColumn("__key", F.concat("__key", F.coalesce("__right", F.array(F.lit(-1).cast("long"))))).drop("__doc", "__right")
-        return Relation(df, [*left.aliases, alias])
+        return Relation(df, [*left.aliases, alias], left.deep)
 
     def lateral(self, left: Relation, s: Source, ctes: dict) -> Relation:
         """The subquery for each row on the left: a join on its WHERE, then its ORDER BY and LIMIT by row number."""
         q: Select = s.value
-        alias, rows = self.source_rows(q.source, ctes)
+        deep = [*left.deep, *deep_tests(q, len(left.deep))]
+        alias, rows = self.source_rows(q.source, ctes, deep)
         right = rows.select(F.col("doc_id").alias("__doc"), F.col("__key").alias("__right"), F.col("r").alias(alias))
-        rel = Relation(left.df.join(right, left.df["doc_id"] == right["__doc"]).drop("__doc"), [*left.aliases, alias])
+        rel = Relation(left.df.join(right, left.df["doc_id"] == right["__doc"]).drop("__doc"), [*left.aliases, alias], deep)
         rel.inner = alias
         for j in q.joins:
             rel = self.join(rel, j, ctes)
             rel.inner = alias
         if q.where is not None:
-            rel.df = rel.df.where(rel.test(q.where))
+            rel.df = rel.df.where(rel.join_test(q.where))
         if q.items[0].kind == "count":
-            raise QueryError("SEM-0305", "COUNT is not supported in LATERAL")
+            name = q.items[0].alias or "count"
+            counts = rel.df.groupBy("doc_id", "__key").agg(F.count("*").alias("__count"))
+            df = left.df.join(counts, ["doc_id", "__key"], "left").withColumn(s.alias, F.struct(F.coalesce("__count", F.lit(0).cast("long")).alias(name)))
+            return Relation(df.select("doc_id", "__key", *left.aliases, s.alias), [*left.aliases, s.alias], left.deep)
         keys = [k for a, c, d in q.order for k in rel.sort_key(Operand(a or alias, "self", c.lower()) if c.lower() in FIELDS else Operand(a, "self", "attribute", c, a is None), d)]
         n = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy(*keys, F.asc("__right")))
         df = rel.df.withColumn("__n", n) if q.order or q.limit is not None else rel.df.withColumn("__n", F.element_at("__right", 1))
@@ -428,14 +458,41 @@ class Planner:
             else:
                 out.append(rel.value(i.expr).alias(i.name))
         df = df.withColumn(s.alias, F.struct(*out)).withColumn("__key", F.concat("__key", F.array(F.col("__n").cast("long"))))
-        return Relation(df.select("doc_id", "__key", *left.aliases, s.alias), [*left.aliases, s.alias])
+        return Relation(df.select("doc_id", "__key", *left.aliases, s.alias), [*left.aliases, s.alias], left.deep)
+
+
+@dataclass
+class DeepTest:
+    """A condition on other nodes of the document, for the rows of an alias (None: of the first one)."""
+
+    expr: object
+    alias: str | None
+    name: str
+
+
+def deep_tests(q: Select, first: int = 0) -> list[DeepTest]:
+    """The conditions of a statement's WHERE and ON that look along child, ancestor or descendant, and EXISTS."""
+    out: list[DeepTest] = []
+
+    def of(e) -> None:
+        if isinstance(e, (And, Or)):
+            of(e.left)
+            of(e.right)
+        elif isinstance(e, Exists) or isinstance(getattr(e, "left", None), Operand) and e.left.axis in ("child", "ancestor", "descendant"):
+            alias = None if isinstance(e, Exists) or e.left.alias is None else e.left.alias.lower()
+            out.append(DeepTest(e, alias, f"__test{first + len(out)}"))
+
+    for e in [q.where, *[j.on for j in q.joins]]:
+        if e is not None:
+            of(e)
+    return out
 
 
 class Relation:
     """A DataFrame with a struct for each alias."""
 
-    def __init__(self, df: DataFrame, aliases: list[str]):
-        self.df, self.aliases, self.inner = df, aliases, None
+    def __init__(self, df: DataFrame, aliases: list[str], deep: list[DeepTest] | None = None):
+        self.df, self.aliases, self.inner, self.deep = df, aliases, None, deep or []
 
     def fields(self, alias: str) -> list[str]:
         return [f.name for f in self.df.schema[alias].dataType.fields]
@@ -469,10 +526,15 @@ class Relation:
                 o = e.args[0]
                 name = o.alias or (o.attr or o.field if o.field != "node" else None)
                 own = [a for a in self.aliases if name and a.lower() == name.lower()] or [self.find(None)[0]]
-                what = "inner_html" if "HTML" in e.name else "text" if e.name == "TEXT" else "direct_text"
+                if "HTML" in e.name:
+                    depth = e.args[1].value if len(e.args) > 1 else 1
+                    got = depth_limited(self.col(own[0], "inner_html"), depth) if depth < 1 << 30 else self.col(own[0], "inner_html")
+                what = "text" if e.name == "TEXT" else "direct_text"
                 fits = F.lit(True) if name is None or own[0].lower() == name.lower() else self.col(own[0], "tag") == name.lower()
                 if e.name == "ATTR":
                     return F.when(fits, F.element_at(self.col(own[0], "attributes"), e.args[1].value))
+                if "HTML" in e.name:
+                    return F.when(fits, got if e.name == "RAW_INNER_HTML" else fn.minify(got))
                 return F.when(fits, self.col(own[0], what))
             return apply(e.name, [self.value(a) for a in e.args], e.args, blank=True)
         raise QueryError("SEM-0105", "this is not a value here")
@@ -490,7 +552,7 @@ class Relation:
                 up = F.col(f"`{a}`")["__parent"]
                 return F.element_at(up["attributes"], o.attr.lower()) if o.field == "attribute" else up[o.field]
             if o.axis not in ("self", "parent"):
-                raise QueryError("SEM-0306", f"the {o.axis} axis is not available after a join; use it in a CTE over doc")
+                raise QueryError("SEM-0306", f"the {o.axis} axis needs rows of a document")
             if self.has(a, name):
                 return self.col(a, name)
             if o.field == "attribute" and self.has(a, "attributes"):
@@ -499,14 +561,19 @@ class Relation:
             raise QueryError("SEM-0102", f"unknown name {name}")
         return F.lit(None).cast("string")
 
-    def join_test(self, e, left: list[str]) -> Column:
-        """ON, with plain equalities between the sides on typed keys so that they stay equi-joins."""
+    def join_test(self, e) -> Column:
+        """ON or WHERE, with plain equalities between aliases on typed keys so that they stay equi-joins."""
         if isinstance(e, And):
-            return self.join_test(e.left, left) & self.join_test(e.right, left)
+            return self.join_test(e.left) & self.join_test(e.right)
         if isinstance(e, Compare) and e.op == "=" and all(isinstance(x, Operand) for x in (e.left, e.right)):
-            return join_key(self.value(e.left)) == join_key(self.value(e.right))
+            a, b = self.value(e.left), self.value(e.right)
+            return a == b if self.numbers(a, b) else join_key(a) == join_key(b)
         return self.test(e)
 
+    def numbers(self, *values: Column) -> bool:
+        """Whether all values are integers by their types, so that nothing has to be read from texts."""
+        return all(f.dataType.typeName() in ("long", "integer") for f in self.df.select(*[v.alias(f"v{k}") for k, v in enumerate(values)]).schema)
+
     def test(self, e) -> Column:
         return F.coalesce(self._test(e), F.lit(False))
 
@@ -515,6 +582,11 @@ class Relation:
             return self.test(e.left) & self.test(e.right)
         if isinstance(e, Or):
             return self.test(e.left) | self.test(e.right)
+        for t in self.deep:
+            if t.expr is e:
+                for a in self.find(t.alias):
+                    if self.has(a, t.name):
+                        return self.col(a, t.name)
         if isinstance(e, Compare):
             a = self.value(e.left).cast("string")
             if e.op == "LIKE":
@@ -522,9 +594,14 @@ class Relation:
             if e.op == "~":
                 ok = fn.java_pattern(str(e.right.value)) if isinstance(e.right, Lit) else None
                 return F.lit(False) if ok is None else a.rlike(ok)
-            b = self.value(e.right).cast("string")
+            x, y = self.value(e.left), self.value(e.right)
+            if e.op in fn.FIT and self.numbers(x, y):
+                return fn.FIT[e.op](x, y)
+            b = y.cast("string")
             if isinstance(e.left, Operand) and e.left.field == "tag":
                 b = fn.lower(b)
+                if isinstance(e.right, Lit) and e.op in ("=", "<>"):
+                    return fn.FIT[e.op](a, b)
             return fn.compare(e.op, a, b)
         if isinstance(e, In):
             a = self.value(e.left).cast("string")
@@ -537,7 +614,7 @@ class Relation:
             return v.isNotNull() if e.negated else v.isNull()
         if isinstance(e, HasDirectText):
             return F.contains(fn.lower(self.col(self.find(None)[0], "direct_text")), F.lit(e.text.lower()))
-        raise QueryError("SEM-0306", "EXISTS is not available after a join; use it in a CTE over doc")
+        raise QueryError("SEM-0306", "EXISTS needs rows of a document")
 
     def sort_key(self, o: Operand, down: bool) -> list[Column]:
         """Numbers by value before strings, NULL first when ascending."""

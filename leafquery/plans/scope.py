@@ -257,13 +257,21 @@ def compare_literal(op: str, scope: Scope, o: Operand, v: Column, literal) -> Co
         return same if op == "=" else v.isNotNull() & ~same
     if o.field in NUMBERS:
         text = str(literal).strip()
-        return fn.compare(op, v, F.lit(int(text))) if text.lstrip("+-").isdigit() else F.lit(False)
+        return fn.FIT[op](v, F.lit(int(text)).cast("long")) if text.lstrip("+-").isdigit() and abs(int(text)) < 2**63 else F.lit(False)
     text = F.lit(str(literal).lower() if o.field == "tag" else str(literal))
     if op in ("=", "<>"):
         return v == text if op == "=" else v != text
     return fn.compare(op, v, text)
 
 
+def constant(e) -> str | None:
+    """The value of a literal or of a CONCAT of literals; None for anything else."""
+    if isinstance(e, Lit) and e.value is not None:
+        return str(e.value)
+    parts = [constant(a) for a in e.args] if isinstance(e, Call) and e.name == "CONCAT" and e.args else [None]
+    return None if None in parts else "".join(parts)
+
+
 def apply(name: str, v: list[Column], args: tuple, blank: bool) -> Column:
     """A scalar function of values. Unknown names and wrong numbers of arguments give NULL."""
     s = [x.cast("string") for x in v]
@@ -284,6 +292,9 @@ def apply(name: str, v: list[Column], args: tuple, blank: bool) -> Column:
         return fn.locate(s[0], s[1], v[2] if n == 3 else None)
     if name == "REPLACE" and n == 3:
         return fn.replace(*s)
-    if name == "REGEX_REPLACE" and n == 3 and isinstance(args[1], Lit) and isinstance(args[2], Lit):
-        return fn.regex_replace(s[0], str(args[1].value), str(args[2].value))
+    if name == "REGEX_REPLACE" and n == 3:
+        fixed = [constant(a) for a in args[1:]]
+        if None not in fixed:
+            return fn.regex_replace(s[0], *fixed)
+        return fn.regex_replace_each(*s)
     return _null()

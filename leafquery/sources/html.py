@@ -20,7 +20,7 @@ from leafquery.ship import ship
 VOID = frozenset("area base basefont br col embed frame hr img input isindex link meta param source track wbr".split())
 RAW = frozenset("script style".split())
 HEAD = frozenset("script style meta link title base".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time u var".split())
+INLINE = frozenset("a abbr b bdi bdo br cite code data dfn em i kbd mark q rp rt ruby s samp small span strong sub sup time u var wbr".split())
 BLOCK = frozenset("address article aside blockquote center dir div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul noframes figure".split())
 STYLE = frozenset("b i u em strong font small big s strike tt".split())
 ENDS = {
@@ -40,7 +40,7 @@ ENDS = {
 FENCE = {"li": frozenset(["ul", "ol", "menu", "dir"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"])}
 FENCE |= dict.fromkeys(("tr", "td", "th", "thead", "tbody", "tfoot"), frozenset(["table"]))
 
-_TAG = re.compile(r"<!--(?P<comment>.*?)(?:-->|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+_TAG = re.compile(r"<!--(?P<comment>.*?)(?:-->|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>?", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 BOOLEAN = frozenset("checked compact declare defer disabled ismap multiple nohref noresize noshade nowrap readonly selected".split())
 _ESCAPE = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;"})

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,23 +30,89 @@ def csv_line(columns: list[Column]) -> Column:
     return F.concat_ws(",", *quoted)
 
 
+def header_line(columns: list[str]) -> str:
+    return ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\n\r') else c for c in columns)
+
+
+def _headed(lines: DataFrame, head: str) -> DataFrame:
+    """Every part begins with the header, as readers of a folder of CSV files expect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([head], pa.string())], names=["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["value"])
+
+    return lines.mapInArrow(run, "value string")
+
+
+def _one_part(lines: DataFrame, top: str, end: str | None = None) -> DataFrame:
+    """kind (0 top, 1 line, 2 end) and value in one part, the lines in the order they had. A union alone does not keep
+    order when its partitions are gathered by where they lie."""
+    at = lambda k, x: lines.sparkSession.createDataFrame([(k, 0, x)], "kind int, at long, value string")
+    body = lines.select(F.lit(1).alias("kind"), F.monotonically_increasing_id().alias("at"), "value")
+    every = at(0, top).union(body) if end is None else at(0, top).union(body).union(at(2, end))
+    return every.coalesce(1).sortWithinPartitions("kind", "at").select("kind", "value")
+
+
+def _array(rows: DataFrame) -> DataFrame:
+    """JSON texts as the lines of one array, written as a stream by one task, as there is one array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            out = []
+            for kind, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out.append("," + value if kind == 1 and not first else value)
+                first = first and kind == 0
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+
+    return _one_part(rows, "[", "]").mapInArrow(run, "value string")
+
+
 def write(df: DataFrame, columns: list[str], kind: str, path: str, single: bool = False) -> None:
-    """Write the rows as text columns below path (a folder of part files; one part if single)."""
-    if "cells" in columns and dict(df.dtypes)["cells"].startswith("map"):
-        raise QueryError("SEM-0402", "a WIDE table cannot be exported")
+    """Write the rows as text columns below path: a folder of part files, one part if single. CSV parts have a header;
+    JSON is one array in one part, NDJSON an object a line."""
     out = as_text(df, columns)
-    out = out.coalesce(1) if single else out
-    if kind == "CSV":
-        head = ",".join(f'"{c}"' if any(x in c for x in ',"\n\r') else c for c in columns)
+    if kind == "PARQUET":
+        (out.coalesce(1) if single else out).write.mode("overwrite").parquet(path)
+    elif kind == "CSV":
         lines = out.select(csv_line([F.col(f"`{c}`") for c in columns]).alias("value"))
-        out.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).union(lines).write.mode("overwrite").text(path) if single else lines.write.mode("overwrite").text(path)
-    elif kind == "PARQUET":
-        out.write.mode("overwrite").parquet(path)
-    elif kind in ("JSON", "NDJSON"):
-        out.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+        if single or not lines.limit(1).count():
+            _one_part(lines, header_line(columns)).select("value").write.mode("overwrite").text(path)
+        else:
+            _headed(lines, header_line(columns)).write.mode("overwrite").text(path)
+    elif kind == "JSON":
+        _array(json_lines(df, columns)).write.mode("overwrite").text(path)
+    elif kind == "NDJSON":
+        lines = json_lines(df, columns)
+        (lines.coalesce(1) if single else lines).write.mode("overwrite").text(path)
     else:
         raise QueryError("SEM-0401", f"cannot write {kind}")
 
 
+def write_table(df: DataFrame, kind: str, path: str, header: bool) -> None:
+    """The one table of a result: its cells as columns, in one part. A rectangular CSV takes its first row as the header
+    or, without one, col1, col2 …; a long table has its own columns."""
+    if "cells" in df.columns and dict(df.dtypes)["cells"].startswith("map"):
+        raise QueryError("SEM-0402", "a WIDE table cannot be exported")
+    if kind not in ("CSV", "PARQUET"):
+        raise QueryError("SEM-0402", "tables are written as CSV or PARQUET")
+    keys = [c for c in ("doc_id", "node_id") if c in df.columns]
+    found = df.select(*keys).distinct().limit(2).count()
+    if found != 1:
+        raise QueryError("SEM-0402", "the export takes exactly one table; add a filter" if found else "the table has no rows")
+    df = df.coalesce(1)  # one table of one document
+    if "cells" not in df.columns:
+        order = [c for c in ("row_index", "col_index") if c in df.columns]
+        return write(df.sortWithinPartitions(*order), [c for c in df.columns if c not in ("doc_id", "node_id")], kind, path, True)
+    df = df.sortWithinPartitions("row_index")
+    width = df.agg(F.max(F.size("cells"))).first()[0]
+    names = [f"col{k + 1}" for k in range(width)]
+    cells = df.select(*[F.get("cells", k).alias(c) for k, c in enumerate(names)])
+    if kind == "PARQUET" or not header:
+        return write(cells, names, kind, path, True)
+    cells.select(csv_line([F.col(c) for c in names]).alias("value")).write.mode("overwrite").text(path)
+
+
 def json_lines(df: DataFrame, columns: list[str]) -> DataFrame:
     return as_text(df, columns).select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]), {"ignoreNullFields": "false"}).alias("value"))
