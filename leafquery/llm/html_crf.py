@@ -24,7 +24,7 @@ from leafquery.llm.common import short_batches, texts_of
 # HTML's inline elements, those without content, those whose text is never shown, and implied ends.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr picture source".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video head title select datalist textarea".split())
+HIDDEN = frozenset("script style noscript template svg iframe object canvas audio video head title select datalist textarea".split())
 RAW = frozenset("script style textarea title iframe noframes xmp".split())
 CLOSES = {
     "li": frozenset(["li"]),
@@ -37,9 +37,12 @@ CLOSES = {
     "body": frozenset(["head", "title"]),
 }
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
+IN_HEAD = frozenset("title meta link script style base noscript template head html".split())
 BARRIER = frozenset("table ul ol dl div section article body td th".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A quote counts only right after `=`, so one in an unquoted value or in prose opens nothing; a tag that is not closed
+#: goes to the end of the page. No part can be matched in two ways, so time grows with the page's length.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|itemprop|aria-label|data-component|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -118,6 +121,8 @@ def blocks_of(page: str) -> list[Block]:
             elif tag in ("p", "br"):
                 flush() if tag == "p" else parts.append(" ")
             continue
+        if tag not in IN_HEAD and "head" in stack:  # its end may be left out
+            pop(stack.index("head"))
         if tag == "br":
             parts.append(" ")
             continue

@@ -2,23 +2,27 @@
 
 Documents become pieces of at most the greatest length. Pieces are dealt by hash into groups of bounded size, which
 pack on their own. In a group, pieces go longest first into the open bin that they leave the least room in. When none
-fits, a bin is opened; which length to open is chosen jointly for the group, as the one that makes all its bins cheapest
-together. At the end each bin shrinks to the least permitted length that holds its contents.
+fits, a bin is opened, of the length that costs least for a token if it is filled with what is still to come. That packing
+competes with those that open one length throughout, and the bins with the most room of the cheapest are solved anew,
+exactly, a few pieces at a time. At the end each bin shrinks to the least permitted length that holds its contents.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafquery.llm.common import materialize
 from leafquery.ship import ship
 
 #: Tokens meant for one group of pieces that pack together.
 GROUP_TOKENS = 16 << 20
+#: Pieces looked at to judge a length, pieces solved exactly at a time, and how often.
+FILL, EXACT, WINDOWS = 64, 8, 24
 
 
 def cost(length: int, fixed: float = 32.0, attention: float = 1 / 65536) -> float:
@@ -26,14 +30,16 @@ def cost(length: int, fixed: float = 32.0, attention: float = 1 / 65536) -> floa
     return fixed + length + attention * length * length
 
 
-def best_fit(sizes: list[int], lengths: list[int], opened: int) -> tuple[list[int], list[int], list[int], float]:
+def best_fit(sizes: list[int], lengths: list[int], opened: int | None) -> tuple[list[int], list[int], list[int], float]:
     """Bin and offset of each piece (sizes descending), each bin's final length, and the total cost, if bins are opened
-    with `opened` tokens, or the least length that a larger piece needs."""
+    with `opened` tokens, or the least length that a larger piece needs; None: with the cheapest length each time."""
     room: list[int] = []  # distinct rooms, ascending
     open_at: dict[int, list[int]] = {}
     used: list[int] = []
     bins, offsets = [], []
+    ascending = sizes[::-1]
     for size in sizes:
+        ascending.pop()
         k = bisect_left(room, size)
         if k < len(room):
             left = room[k]
@@ -42,7 +48,7 @@ def best_fit(sizes: list[int], lengths: list[int], opened: int) -> tuple[list[in
                 del open_at[left]
                 room.pop(k)
         else:
-            b, left = len(used), max(opened, lengths[bisect_left(lengths, size)])
+            b, left = len(used), cheapest_length(ascending, size, lengths) if opened is None else max(opened, lengths[bisect_left(lengths, size)])
             used.append(0)
         bins.append(b)
         offsets.append(used[b])
@@ -57,10 +63,90 @@ def best_fit(sizes: list[int], lengths: list[int], opened: int) -> tuple[list[in
     return bins, offsets, final, sum(map(cost, final))
 
 
+def cheapest_length(left: list[int], size: int, lengths: list[int]) -> int:
+    """The length to open for a piece: that whose bin, filled with what is left (ascending), costs least for a token."""
+    best = None
+    for c in lengths[bisect_left(lengths, size) :]:
+        room, taken, k = c - size, [], len(left)
+        while room and len(taken) < FILL and (k := bisect_right(left, room, 0, k)):
+            k -= 1
+            taken.append(left[k])
+            room -= left[k]
+        used = size + sum(taken)
+        each = cost(lengths[bisect_left(lengths, used)]) / used
+        if best is None or each <= best[0]:
+            best = (each, c)
+    return best[1]
+
+
+def exact(sizes: list[int], lengths: list[int]) -> list[list[int]]:
+    """The cheapest bins for a few pieces, by all their subsets; each bin as places in sizes."""
+    n = len(sizes)
+    total = [0] * (1 << n)
+    for m in range(1, 1 << n):
+        low = (m & -m).bit_length() - 1
+        total[m] = total[m & (m - 1)] + sizes[low]
+    price = [cost(lengths[bisect_left(lengths, t)]) if 0 < t <= lengths[-1] else float("inf") for t in total]
+    best, take = [0.0] + [float("inf")] * ((1 << n) - 1), [0] * (1 << n)
+    for m in range(1, 1 << n):
+        first = m & -m
+        rest = m ^ first
+        s = rest
+        while True:  # every bin that holds the first piece of m
+            bin_ = s | first
+            if (c := price[bin_] + best[m ^ bin_]) < best[m]:
+                best[m], take[m] = c, bin_
+            if not s:
+                break
+            s = (s - 1) & rest
+    out, m = [], (1 << n) - 1
+    while m:
+        out.append([k for k in range(n) if take[m] >> k & 1])
+        m ^= take[m]
+    return out
+
+
+def improve(sizes: list[int], bins: list[int], lengths: list[int]) -> list[int]:
+    """The bins with the most room, as many as hold EXACT pieces together, are solved anew, some such sets in turn."""
+    held: dict[int, list[int]] = {}
+    for i, b in enumerate(bins):
+        held.setdefault(b, []).append(i)
+    room = {b: lengths[bisect_left(lengths, u)] - u for b, u in ((b, sum(sizes[i] for i in part)) for b, part in held.items())}
+    order = sorted((b for b in held if room[b]), key=lambda b: (-room[b], b))
+    out, k = list(bins), 0
+    for _ in range(WINDOWS):
+        window, pieces = [], []
+        while k < len(order) and len(pieces) + len(held[order[k]]) <= EXACT:
+            pieces += held[order[k]]
+            window.append(order[k])
+            k += 1
+        if not window:
+            if k < len(order):  # a bin of many pieces
+                k += 1
+                continue
+            break
+        found = exact([sizes[i] for i in pieces], lengths)
+        price = lambda parts: sum(cost(lengths[bisect_left(lengths, sum(sizes[i] for i in p))]) for p in parts)
+        new = [[pieces[i] for i in p] for p in found]
+        if price(new) < price([held[b] for b in window]):
+            for b, part in zip([*window, *range(max(out) + 1, max(out) + 1 + len(new))], new, strict=False):
+                for i in part:
+                    out[i] = b
+    return out
+
+
 def pack_group(sizes: list[int], lengths: list[int]) -> tuple[list[int], list[int], list[int]]:
-    """The cheapest packing over all lengths to open; the greater length on a tie."""
-    tried = [best_fit(sizes, lengths, c) for c in reversed(lengths)]
-    return min(tried, key=lambda t: t[3])[:3]
+    """Bin and offset of each piece (sizes descending) and each bin's final length: the cheapest of the packing that
+    chooses a length at each opening and those that open one length throughout, improved where much room is left."""
+    tried = [best_fit(sizes, lengths, None), *(best_fit(sizes, lengths, c) for c in reversed(lengths))]
+    bins = improve(sizes, min(tried, key=lambda t: t[3])[0], lengths)
+    number = {b: k for k, b in enumerate(dict.fromkeys(bins))}
+    used = [0] * len(number)
+    offsets = []
+    for size, b in zip(sizes, bins, strict=True):
+        offsets.append(used[number[b]])
+        used[number[b]] += size
+    return [number[b] for b in bins], offsets, [lengths[bisect_left(lengths, u)] for u in used]
 
 
 def pack(docs: DataFrame, lengths: tuple[int, ...] = (1024, 2048, 4096, 8192, 16384), tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,7 +161,8 @@ def pack(docs: DataFrame, lengths: tuple[int, ...] = (1024, 2048, 4096, 8192, 16
     allowed = sorted(set(lengths))
     most = allowed[-1]
     n = F.greatest(F.lit(1), F.coalesce(tokens if tokens is not None else F.octet_length(text_col) + 1, F.lit(1))).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n"), F.xxhash64(id_col, text_col).alias("salt"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), n.alias("n"), F.monotonically_increasing_id().alias("salt"))  # copies of a row spread too
+    rows = materialize(rows, "packing-sizes")
     total = rows.agg(F.sum("n")).first()[0] or 0
     groups = max(1, round(total / GROUP_TOKENS))
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {most} as int)")))).select(

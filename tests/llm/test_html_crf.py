@@ -71,3 +71,16 @@ def test_odd_rows(spark, model):
     got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text int"), model).collect()
     assert len(got) == 5 and [r.text for r in got][:2] == ["", ""] and max(r.n_chars for r in got) == len(("Word and word, more. " * 30000).strip())
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
+
+
+def test_stray_quotes_and_unclosed_tags():
+    import time
+
+    from leafquery.llm.html_crf import blocks_of
+
+    assert [b.text for b in blocks_of("<article><p title=it's>Hello there, it's fine</p><p class='a > b'>Next</p></article>")] == ["Hello there, it's fine", "Next"]
+    assert [b.text for b in blocks_of("<html><head><title>t</title><p>No end of head, no body")] == ["No end of head, no body"]
+    began = time.time()
+    for page in ("<a " * 350_000, "<a x='" * 200_000, "<p>" + "<" * 500_000, "<b x=" * 200_000, "<!--" * 200_000):
+        blocks_of(page)
+    assert time.time() - began < 20
