@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafquery.functions import text as fn
+from leafquery.lang.lexer import QueryError
 
 # Common English words that carry no topic.
 STOPWORDS = frozenset(
@@ -51,10 +54,27 @@ def tfidf(rows: DataFrame, by: list[str], top: int = 30, min_df: int = 1, max_df
     return joined.select(*[F.col(f"l.{c}") for c in [*by, *keep]], F.coalesce("r.terms_score", F.create_map().cast("map<string,double>")).alias("terms_score"))
 
 
-def summarize_content(docs: DataFrame, text: str = "text", max_tokens: int = 20, by: list[str] | None = None) -> DataFrame:
-    """The most frequent tokens of each group (or of everything): token, count, score = count / total."""
+#: lang -> texts as a column to arrays of tokens as a column.
+TOKENIZERS: dict[str, Callable[[Column], Column]] = {}
+
+
+def register_tokenizer(lang: str, split: Callable[[str], list[str]] | None = None, column: Callable[[Column], Column] | None = None) -> None:
+    """How summarize_content reads texts of a language: a function of a column, or one of a text, which then runs in
+    Arrow batches on the executors."""
+    if column is None:
+        run = F.pandas_udf(lambda texts: texts.map(lambda t: [] if t is None else [str(x) for x in split(t)]), "array<string>")
+        column = run
+    TOKENIZERS[lang.lower()] = column
+
+
+def summarize_content(docs: DataFrame, text: str = "text", max_tokens: int = 20, by: list[str] | None = None, lang: str | None = None) -> DataFrame:
+    """The most frequent tokens of each group (or of everything): token, count, score = count / total. lang: a registered
+    tokenizer's."""
     by = by or []
-    counts = docs.select(*by, F.explode(tokens(F.col(text))).alias("token")).where(~F.col("token").isin(*sorted(STOPWORDS))).groupBy(*by, "token").agg(F.count("*").alias("count"))
+    if lang is not None and lang.lower() not in TOKENIZERS:
+        raise QueryError("RUN-0002", f"no tokenizer is registered for {lang}")
+    split = tokens if lang is None else TOKENIZERS[lang.lower()]
+    counts = docs.select(*by, F.explode(split(F.col(text))).alias("token")).where(~F.col("token").isin(*sorted(STOPWORDS))).groupBy(*by, "token").agg(F.count("*").alias("count"))
     total = counts.groupBy(*by).agg(F.sum("count").alias("total"))
     counts = counts.join(total, by) if by else counts.crossJoin(F.broadcast(total))  # one row
     counts = counts.withColumn("score", F.col("count") / F.col("total")).drop("total")

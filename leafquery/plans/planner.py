@@ -19,10 +19,11 @@ from leafquery.lang.parser import parse
 from leafquery.operators import meta, tables, terms
 from leafquery.plans.scope import Project, Scope, _all, _any, apply, depth_limited
 from leafquery.sources.html import TEXTS, parse_pages
+from leafquery.sources.loader import Policy, fetch
 
 CORE = ["node_id", "tag", "attributes", "parent_id", "max_depth", "doc_order"]
 HIDDEN = ["node_id", "tag", "attributes", "parent_id", "max_depth", "doc_order", "sibling_pos", "text", "direct_text", "inner_html"]
-MOST_LIMIT, MOST_RAW, MOST_PATTERN = 100_000, 5 << 20, 1024
+MOST_LIMIT, MOST_RAW, MOST_PATTERN, MOST_FRAGMENTS, MOST_FRAGMENT = 100_000, 5 << 20, 1024, 1000, 1 << 20
 
 
 @dataclass
@@ -118,8 +119,8 @@ def readers(q: Select) -> int:
 class Planner:
     """pages: doc_id, source_uri, html. scope: `document` (counts and limits hold in each document) or `corpus`."""
 
-    def __init__(self, spark: SparkSession, pages: DataFrame | None = None, scope: str = "document"):
-        self.spark, self.pages, self.scope = spark, pages, scope
+    def __init__(self, spark: SparkSession, pages: DataFrame | None = None, scope: str = "document", policy: Policy = Policy(), named: dict | None = None):  # noqa: B008
+        self.spark, self.pages, self.scope, self.policy, self.named = spark, pages, scope, policy, named or {}
         self.parsed: dict[frozenset, DataFrame] = {}
         self.readers = 1
 
@@ -170,6 +171,8 @@ class Planner:
     # sources
     def documents(self, s: Source, ctes: dict) -> DataFrame:
         """doc_id, source_uri, nodes."""
+        if s.kind == "name" and s.value.lower() in self.named:
+            return parse_pages(self.named[s.value.lower()], self.need)
         if s.kind in ("doc", "name"):
             if self.pages is None:
                 raise QueryError("RUN-0001", "no document is loaded")
@@ -182,7 +185,8 @@ class Planner:
             return self.fragments(s.value, ctes)
         if s.kind == "path":
             if "://" in s.value and s.value.split("://")[0] in ("http", "https"):
-                raise QueryError("RUN-0002", "network sources must be loaded by the caller")
+                html, uri = fetch(s.value, self.policy)
+                return parse_pages(self.spark.createDataFrame([(0, uri, html)], "doc_id long, source_uri string, html string"), self.need)
             files = self.spark.read.text(s.value, wholetext=True)
             several = len(files.inputFiles()) > 1  # each file is a document of its own
             file = F.col("_metadata.file_path")
@@ -200,8 +204,16 @@ class Planner:
         got = self.select(q, ctes)
         if len(got.columns) != 1:
             raise QueryError("SEM-0401", "PARSE takes one column")
-        c = got.columns[0]
-        per = got.df.where(F.col(c).isNotNull() & (F.trim(F.col(c)) != "")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("__ord", F.col(c).cast("string").alias("h")))).alias("f"))  # one document's fragments
+        if got.table:
+            raise QueryError("SEM-0401", "PARSE takes no tables")
+        h = fn.trim(F.col(f"`{got.columns[0]}`").cast("string"))
+        bytes_ = F.octet_length("h")
+        stop = lambda what: F.raise_error(F.lit(f"RUN-0002: PARSE {what}"))
+        html = F.when(F.col("h").isNull() | (F.col("h") != "") & ~(F.contains("h", F.lit("<")) & F.contains("h", F.lit(">"))), stop("takes strings of HTML")).when(bytes_ > MOST_FRAGMENT, stop(f"takes fragments of at most {MOST_FRAGMENT} bytes")).otherwise(F.col("h"))
+        one = got.df.select("doc_id", "__ord", h.alias("h")).select("doc_id", "__ord", html.alias("h")).where("h != ''")
+        total = one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("__ord", "h"))).alias("f"), F.count("*").alias("n"), F.sum(bytes_).alias("size"))  # one document's fragments
+        kept = F.when(F.col("n") > MOST_FRAGMENTS, stop(f"takes at most {MOST_FRAGMENTS} fragments")).when(F.col("size") > MOST_RAW, stop(f"takes at most {MOST_RAW} bytes")).otherwise(F.col("f"))
+        per = total.select("doc_id", kept.alias("f"))
         pages = per.select("doc_id", F.lit("parse").alias("source_uri"), F.col("f.h").alias("html"))
         return parse_pages(pages, self.need)
 
