@@ -1,7 +1,6 @@
 """Statements from templates: {{ name }}, {{ a.b[0] }}, {% for x in list %}, {% if x %}, {# notes #}.
 
-Strict: a name without a value is an error, never an empty text. Values are put in as they are, without escaping; lists
-and mappings can only be looked into. A subset of the usual template syntax, read here as no library may be present.
+Strict: a name without a value is an error, never an empty text. Values are put in as they are, without escaping. A subset of the usual template syntax, read here as no library may be present.
 """
 
 from __future__ import annotations
@@ -76,10 +75,7 @@ def _run(parts: list[tuple[str, str]], k: int, names: dict[str, Any], live: bool
         if kind == "text":
             out.append(text if live else "")
         elif kind == "value" and live:
-            value = value_of(text, names)
-            if isinstance(value, (list, dict)):
-                raise fail(f"the template's variable {text!r} is not a single value")
-            out.append({True: "true", False: "false"}.get(value, str(value)) if isinstance(value, bool) else str(value))
+            out.append(str(value_of(text, names)))
         elif kind == "tag":
             words = text.split()
             if words[0] in ("endfor", "endif", "else"):
@@ -88,6 +84,8 @@ def _run(parts: list[tuple[str, str]], k: int, names: dict[str, Any], live: bool
                 start, stop = k + 1, k + 1
                 names_of = [w.strip() for w in each[1].split(",")]
                 items = value_of(each[2], names) if live else []
+                if not isinstance(items, (list, dict)):
+                    raise fail(f"the template's variable {each[2]!r} is no list")
                 for n, item in enumerate(items):
                     own = dict(zip(names_of, item, strict=True)) if len(names_of) > 1 else {names_of[0]: item}
                     loop = {"index": n + 1, "index0": n, "first": n == 0, "last": n + 1 == len(items)}
