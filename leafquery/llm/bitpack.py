@@ -8,6 +8,7 @@ document's id, first position and whether it has no id. unpack() turns any range
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -27,8 +28,12 @@ BLOCK = 1 << 14
 #: Text bytes meant for one file, and the most files; beyond that, files grow (they are written as a stream).
 FILE_BYTES, MOST_FILES = 24 << 20, 65_536
 MOST_WORDS = 400_000
-#: Marks that may follow a stem of letters, and the first letter whose lower case is not plain.
-MARKS, PLAIN = '.,;:!?"#$%&*|()', "\u0130"
+#: A word on its line: lower-case letters (those whose case is plain) and the marks after them, or anything else.
+_STEM = re.compile(r"""^(?:([a-z\u00df-\u00f6\u00f8-\u012f]+)([.,;:!?"#$%&*|()]*)|.*)$""", re.M)
+
+
+#: Widths that are numbers of whole bytes: the same bits as any other width would give.
+WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}
 
 
 def width_of(vocabulary: int) -> int:
@@ -37,6 +42,8 @@ def width_of(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, width: int) -> bytes:
     """ids in width bits each, lowest bit first, padded to whole bytes."""
+    if width in WHOLE:
+        return ids.astype(WHOLE[width]).tobytes()
     bits = (ids.astype(np.uint64)[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
     return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
 
@@ -45,6 +52,8 @@ def unpack(data: bytes | memoryview, width: int, first: int, count: int) -> np.n
     """count ids from position first, as 32-bit integers: each is cut from the eight bytes in which it begins."""
     if count <= 0:
         return np.empty(0, np.uint32)
+    if width in WHOLE:
+        return np.frombuffer(data, WHOLE[width], count, first * width // 8).astype(np.uint32)
     at = (np.arange(first, first + count, dtype=np.int64)) * width
     low, high = int(at[0] >> 3), int((at[-1] + width + 7) >> 3)
     raw = np.zeros(high - low + 8, np.uint8)
@@ -157,17 +166,16 @@ class WordEncoder:
         """Encode words that are not known. Plain letters are one unit to the tokenizer, whatever their case, and marks
         after them another, so only stems and marks are encoded, many stems in one call and told apart by the ends of
         units."""
-        known, joined, stems, tails, alone = self.words, [], [], [], []
-        for word in words:
-            stem = word.rstrip(MARKS)
-            if stem.isalpha() and (stem.isascii() or max(stem) < PLAIN):
-                joined.append(word)
-                stems.append(stem.lower())
-                tails.append(word[len(stem) :])
-            else:
-                alone.append(word)
-        new = list(set(stems).difference(known))
-        alone += set(tails).difference(known)
+        known, words = self.words, list(words)
+        if not words:
+            return
+        parts = _STEM.findall("\n".join(words).lower())
+        stems, tails = [p[0] for p in parts], [p[1] for p in parts]
+        if len(parts) != len(words):  # lower case that adds lines does not exist; then nothing is taken apart
+            stems = tails = [""] * len(words)
+        alone = [word for word, stem in zip(words, stems) if not stem]  # noqa: B905
+        new = list(set(stems).difference(known, ("",)))
+        alone += set(tails).difference(known, alone)
         for k in range(0, len(new), 512):
             part = new[k : k + 512]
             ids = np.array(self.batch([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
@@ -182,7 +190,7 @@ class WordEncoder:
             part = alone[k : k + 4096]
             for word, e in zip(part, self.batch(part, add_special_tokens=False), strict=True):
                 known[word] = np.array(e.ids, self.kind).tobytes()
-        known.update(zip(joined, [known[stem] + known[tail] if tail else known[stem] for stem, tail in zip(stems, tails)]))  # noqa: B905
+        known.update([(word, known[stem] + known[tail] if tail else known[stem]) for word, stem, tail in zip(words, stems, tails) if stem])  # noqa: B905
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids."""

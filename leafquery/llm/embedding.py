@@ -58,14 +58,17 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _pivots(nodes: DataFrame) -> dict[str, np.ndarray]:
     """Some far-apart vectors of every group that is too large for one cell."""
-    sizes = {r.g: r.n for r in nodes.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > CELL).collect()}
-    if not sizes:
+    sizes = nodes.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > CELL).withColumn("m", F.ceil(F.col("n") / CELL))
+    sizes = materialize(sizes, "vector-groups-sizes")
+    total = sizes.agg(F.sum("m")).first()[0]
+    if not total:
         return {}
-    wanted = {g: -(-n // CELL) for g, n in sizes.items()}
-    scale = min(1.0, MOST_PIVOTS / sum(wanted.values()))
-    wanted = {g: max(1, int(m * scale)) for g, m in wanted.items()}
-    share = F.create_map(*[F.lit(x) for g, m in wanted.items() for x in (g, min(1.0, TRIES * (m + 4) / sizes[g]))])
-    picked = nodes.where(F.pmod(F.xxhash64("a"), F.lit(1 << 30)) < share[F.col("g")] * (1 << 30)).select("g", "a", "u").limit(2 * TRIES * (MOST_PIVOTS + 4 * len(wanted))).toPandas()
+    # groups whose share of the pivots is one or none stay one cell, cut into blocks; so at most MOST_PIVOTS / 2 are listed
+    share = min(1.0, MOST_PIVOTS / total)
+    large = sizes.withColumn("m", F.floor(F.col("m") * share).cast("int")).where("m >= 2")
+    wanted = {r.g: r.m for r in large.collect()}
+    chance = large.select("g", F.least(F.lit(1.0), TRIES * (F.col("m") + 4) / F.col("n")).alias("chance"))
+    picked = nodes.join(F.broadcast(chance), "g").where(F.pmod(F.xxhash64("a"), F.lit(1 << 30)) < F.col("chance") * (1 << 30)).select("g", "a", "u").limit(2 * TRIES * (MOST_PIVOTS + 4 * len(wanted))).toPandas()
     out = {}
     for g, part in picked.sort_values("a").groupby("g"):
         x = np.stack(part["u"].to_numpy())

@@ -60,7 +60,7 @@ def test_words_equal_the_library():
     lib = Tokenizer.from_file(PATH)
     use = bitpack.WordEncoder(open(PATH, "rb").read())
     rnd = np.random.default_rng(3)
-    letters = list("abcdefgXYZéÉßüñ'´İΣς1²९,.!?#$|\n\t \u00a0\u0301한😀")
+    letters = list("abcdefgXYZ\u212aẞµéÉßüñ'´İΣς1²९,.!?#$|\n\t \u00a0\u0301한😀")
     letters += ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "endoftext"]
     texts = ["".join(rnd.choice(letters, rnd.integers(0, 60))) for _ in range(1500)]
     texts += ["a<|endoftext|>b", "<|startoftext|><|endoftext|>", "word<|endoftext|>", "X<|ENDOFTEXT|>", " ".join(f"hapax{k}, Word{k:x}." for k in range(3000))]

@@ -31,6 +31,17 @@ def test_columns_and_odd_rows(spark, sf_dir):
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 
+def test_first_and_last_stage_on_odd_rows(spark, sf_dir):
+    rows = [(1, None, None, None, None), (None, "same words in here again and again", "en", "a", 3), (2, "", "en", "a", 0), (2, "", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, table(spark, sf_dir, "documents").schema)
+    kept = corpus_pipeline.quality(spark, docs, sf_dir)
+    assert kept.columns == docs.columns and kept.count() <= 4
+    assert corpus_pipeline.quality(spark, docs.limit(0), sf_dir).count() == 0
+    pieces = corpus_pipeline.packing(spark, docs, sf_dir).collect()
+    assert sorted(r.n_tokens for r in pieces) == [1, 1, 1, len(rows[1][1]) + 1]
+    assert corpus_pipeline.packing(spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_one_row_of_each_group_stays_whatever_its_id(spark, sf_dir):
     text = " ".join(f"w{k}" for k in range(60))
     other = "quite another text " + " ".join(f"v{k}" for k in range(40))
