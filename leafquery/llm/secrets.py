@@ -151,7 +151,10 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     which = lambda options, j: reduce(lambda c, k: c.when(F.pmod(i, F.lit(len(options))) == k, options[k][j]), range(1, len(options)), F.when(F.pmod(i, F.lit(len(options))) == 0, options[0][j]))
     right = F.concat(pick("r0", '" ', " ", ", ", "\n"), word("r1"), F.lit(" "), word("r2"))
     secret = F.pmod(F.xxhash64(F.lit("half"), i), F.lit(2)) == 0
-    path = F.when(secret, pick("path1", "src0", "config", "deploy", "src9", "web", "news")).otherwise(pick("path2", "src0", "tests", "docs", "src9", "vendor", "web"))
+    # every place holds both kinds; only how often differs
+    anywhere = pick("path", "src0", "src9", "web", "news", "config", "deploy", "tests", "docs", "vendor", "examples/app", "lib/core", "notes")
+    leaning = F.when(secret, pick("path1", "config", "deploy", "src0", "web")).otherwise(pick("path2", "tests", "docs", "vendor", "src9"))
+    path = F.when(F.pmod(F.xxhash64(F.lit("path0"), i), F.lit(4)) == 0, leaning).otherwise(anywhere)
     return spark.range(0, n, 1, 1).select(
         F.when(secret, which(good, 0)).otherwise(which(bad, 0)).alias("value"),
         F.when(secret, which(good, 1)).otherwise(which(bad, 1)).alias("left"),
