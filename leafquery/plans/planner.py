@@ -6,6 +6,7 @@ and derived tables plan as relations: DataFrames with a struct for each alias, j
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -17,7 +18,7 @@ from leafquery.lang.ast import FIELDS, And, Call, Case, Compare, Contains, Exist
 from leafquery.lang.lexer import QueryError
 from leafquery.lang.parser import parse
 from leafquery.operators import meta, tables, terms
-from leafquery.plans.scope import Project, Scope, _all, _any, apply, depth_limited
+from leafquery.plans.scope import Project, Scope, _all, _any, apply, depth_limited, let
 from leafquery.sources.html import TEXTS, parse_pages
 from leafquery.sources.loader import Policy, fetch
 
@@ -281,17 +282,17 @@ class Planner:
         columns: list[str] = []
 
         def row(n: Column) -> Column:
-            env, out = {}, []
+            out = []
 
             def add(name: str, value: Column):
                 out.append((name, value))
 
             for item in q.items:
                 if item.kind == "project":
-                    for name, e in item.expr:
-                        s = scope_of(n, Project, env)
-                        env[name] = s.value(e)
-                        add(name, env[name].cast("string"))
+                    made = projected(item.expr, lambda env, shared: shared_scope(scope_of(n, Project, env), shared))
+                    columns[:] = unique([name for name, _ in item.expr])
+                    hidden = F.struct(*[n[h].alias(h) for h in HIDDEN]).alias("__hidden")
+                    return let(made, lambda m: F.struct(*[m[f"p{at}"].alias(c) for at, c in enumerate(columns)], hidden))
                 elif item.kind == "flatten":
                     for name, value in zip(item.options["names"], flatten(scope_of(n), item, flat_where), strict=True):
                         add(name, value)
@@ -697,6 +698,36 @@ def split_descendant(where):
     return (where, None) if deep else (None, where)
 
 
+def shared_scope(s: Project, shared: dict) -> Project:
+    s.shared = shared
+    return s
+
+
+def projected(pairs: tuple, scope: Callable[[dict, dict], Project]) -> Column:
+    """The columns of a PROJECT as one struct of strings. Values that later expressions name, and the nodes of a tag that
+    several selectors read, are bound once."""
+    uses = [{o.attr or o.field for o in walk(e) if isinstance(o, Operand) and o.bare} for _, e in pairs]
+    tags = [x.tag for _, e in pairs for x in walk(e) if isinstance(x, Selector)]
+    often = [t for t in dict.fromkeys(tags) if tags.count(t) > 1]
+
+    def tagged(left: list, shared: dict) -> Column:
+        if not left:
+            return valued(0, {}, shared, [])
+        own = F.filter(scope({}, {}).subtree(), lambda c: c["tag"] == left[0])
+        return let(own, lambda nodes: tagged(left[1:], {**shared, left[0]: nodes}))
+
+    def valued(k: int, env: dict, shared: dict, done: list) -> Column:
+        if k == len(pairs):
+            return F.struct(*[v.cast("string").alias(f"p{at}") for at, v in enumerate(done)])
+        name, e = pairs[k]
+        value = scope(env, shared).value(e)
+        if any(name in u for u in uses[k + 1 :]):
+            return let(value, lambda v: valued(k + 1, {**env, name: v}, shared, [*done, v]))
+        return valued(k + 1, {**env, name: value}, shared, [*done, value])
+
+    return tagged(often, {})
+
+
 def flatten(s: Scope, item: Item, where) -> list[Column]:
     depth = item.options["depth"]
     cands = s.candidates("descendant") if depth is None else s.subtree()

@@ -45,6 +45,7 @@ class Scope:
 
     def __init__(self, node: Column, nodes: Column, uri: Column, alias: str | None = None, env: dict[str, Column] | None = None, outer: Scope | None = None):
         self.node, self.nodes, self.uri, self.alias, self.env, self.outer = node, nodes, uri, alias, env or {}, outer
+        self.shared: dict[str | None, Column] = {}
 
     def inner(self, node: Column) -> Scope:
         return Scope(node, self.nodes, self.uri, None, {}, self)
@@ -214,7 +215,12 @@ class Scope:
         return apply(name, [self.value(a) for a in args], args, blank=bool(self.env) or isinstance(self, Project))
 
     def selected(self, e: Selector) -> Column:
-        want = lambda c: (c["tag"] == e.tag) & (self.inner(c).test(e.where) if e.where is not None else F.lit(True))
+        # nodes of one tag that several selectors read are taken from the subtree once
+        own = self.shared.get(e.tag)
+        fits = lambda c: self.inner(c).test(e.where)
+        if own is None:
+            own = F.filter(self.subtree(), lambda c: c["tag"] == e.tag)
+        want = own if e.where is None else F.filter(own, fits)
 
         def of(c: Column) -> Column:
             if e.kind == "ATTR":
@@ -224,7 +230,7 @@ class Scope:
             tries = [fn.spaces(c[k]) for k in ("direct_text", "inline_text", "text")]
             return F.when(tries[0] != "", tries[0]).when(tries[1] != "", tries[1]).otherwise(tries[2])
 
-        found = F.filter(F.transform(F.filter(self.subtree(), want), of), lambda v: v.isNotNull() & (v != ""))
+        found = F.filter(F.transform(want, of), lambda v: v.isNotNull() & (v != ""))
         return F.get(found, F.size(found) - 1) if e.at < 0 else F.get(found, e.at - 1)
 
 
@@ -232,6 +238,11 @@ class Project(Scope):
     """The scope of PROJECT: COALESCE also skips blank strings."""
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once, however often `then` reads it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _any(conds) -> Column:
     out = F.lit(False)
     for c in conds:
