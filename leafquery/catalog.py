@@ -133,6 +133,8 @@ N = "WITH n AS (SELECT CAST(n_regionkey AS BIGINT) AS doc_id, CAST(n_nationkey A
 add("table_rect", "SELECT table FROM doc TO TABLE(TRIM_EMPTY_ROWS=ON, TRIM_EMPTY_COLS=ALL)", N + "SELECT doc_id, CAST(2 AS BIGINT) AS node_id, r + 1 AS row_index, k || '|' || n_name || '|' || CASE WHEN even THEN 'even' ELSE '' END AS row FROM n UNION ALL SELECT DISTINCT doc_id, 2, 1, 'key|Nation\n Nation|key' FROM n", pages=nation_pages, keep="doc_id; node_id; row_index; array_join(cells, '|', '') as row")
 add("table_long", "SELECT table FROM doc TO TABLE(FORMAT=SPARSE, SPARSE_SHAPE=LONG, HEADER_NORMALIZE=ON)", N + "SELECT doc_id, CAST(2 AS BIGINT) AS node_id, r AS row_index, c.i AS col_index, c.h AS header, CASE c.i WHEN 1 THEN k WHEN 2 THEN n_name ELSE 'even' END AS value FROM n, (VALUES (CAST(1 AS BIGINT), 'key'), (CAST(2 AS BIGINT), 'Nation'), (CAST(4 AS BIGINT), 'key_2')) c(i, h) WHERE c.i < 4 OR even", pages=nation_pages)
 add("table_wide", "SELECT table FROM doc TO TABLE(FORMAT=SPARSE, SPARSE_SHAPE=WIDE, STOP_AFTER_EMPTY_ROWS=1)", N + "SELECT doc_id, r AS row_index, k AS key, n_name AS name, CASE WHEN even THEN 'even' END AS other FROM n UNION ALL SELECT doc_id, max(r) + 1, NULL, NULL, NULL FROM n GROUP BY 1", pages=nation_pages, keep="doc_id; row_index; cells['key'] as key; cells['Nation\\n Nation'] as name; cells['key_2'] as other")
+QUERIES["show_operators"] = lambda spark, sf_dir: Engine(spark).execute("SHOW OPERATORS").select("operator")
+ORACLES["show_operators"] = "SELECT unnest(['=', '<>', '<, <=, >, >=', 'IN (...)', 'LIKE', 'CONTAINS', 'CONTAINS ALL', 'CONTAINS ANY', 'IS NULL', 'IS NOT NULL', 'HAS_DIRECT_TEXT', '~', 'AND', 'OR']) AS operator"
 QUERIES["describe_doc"] = lambda spark, sf_dir: Engine(spark).execute("DESCRIBE doc").select("column_name", "type", "nullable")
 ORACLES["describe_doc"] = "SELECT * FROM (VALUES ('node_id', 'int64', 'false'), ('tag', 'string', 'false'), ('attributes', 'map<string,string>', 'false'), ('parent_id', 'int64', 'true'), ('max_depth', 'int64', 'false'), ('doc_order', 'int64', 'false'), ('sibling_pos', 'int64', 'false'), ('source_uri', 'string', 'true')) v(column_name, type, nullable)"
 
@@ -143,7 +145,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Engine.of_table(spark, table(spark, sf_dir, "pages")).execute("SELECT PROJECT(body) AS (title: TEXT(h1), ad: TEXT(div WHERE class = 'ad'), links: TEXT(nav)) FROM doc").select("doc_id", "ad")
+    return Engine.of_table(spark, table(spark, sf_dir, "pages")).execute("SELECT PROJECT(body) AS (title: TEXT(h1), ad: TEXT(div WHERE class = 'ad'), links: TEXT(nav)) FROM doc").select("doc_id", "title", "ad")
 
 
 def tfidf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +209,7 @@ _TOKENS = "string_split_regex(translate(regexp_replace(text, '<[^>]*(>|$)', '',
 ORACLES |= {
     "page_links": """WITH p AS (SELECT page_id AS doc_id, unnest(regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>'), '<a href="[^"]*">[^<]*</a>')) AS a FROM pages)
 SELECT doc_id, regexp_extract(a, 'href="([^"]*)"', 1) AS href, replace(regexp_extract(a, '>([^<]*)<', 1), '&amp;', '&') AS t FROM p""",
-    "page_ads": """SELECT page_id AS doc_id, trim(regexp_replace(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1), '\\s+', ' ', 'g')) AS ad FROM pages""",
+    "page_ads": """SELECT page_id AS doc_id, replace(replace(replace(replace(replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&') AS title, trim(regexp_replace(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1), '\\s+', ' ', 'g')) AS ad FROM pages""",
     "tfidf": f"""WITH t AS (SELECT doc_id AS node_id, unnest(list_filter({_TOKENS}, lambda x: x NOT IN ('', {_STOP}))) AS term FROM documents),
 c AS (SELECT node_id, term, count(*) AS c FROM t GROUP BY 1, 2), n AS (SELECT node_id, count(*) AS total FROM t GROUP BY 1), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
 s AS (SELECT c.node_id, c.term, c.c / n.total * (ln(((SELECT count(*) FROM documents) + 1) / (d.df + 1)) + 1) AS score FROM c JOIN n USING (node_id) JOIN d USING (term) WHERE d.df >= 2)
