@@ -211,23 +211,23 @@ def _among_pivots(to_pivot: DataFrame, together: DataFrame, percent: int) -> Dat
     star = materialize(_links_of(tried, members, percent), "minhash-list-stars")
     now = components(together.select(F.col("a").alias("u"), F.col("c").alias("v")).union(star), "minhash-list-groups").select(F.col("node").alias("a"), F.col("component").alias("c"))
 
-    # what is still apart, in pairs
-    own = members.select("hb", "h", "a").join(now, "a", "left").select("hb", "h", F.coalesce("c", "a").alias("c"))
+    # what is still apart, in pairs; step by step, as one plan of it all would hold the driver's memory for 36 exchanges at once
+    own = materialize(members.select("hb", "h", "a").join(now, "a", "left").select("hb", "h", F.coalesce("c", "a").alias("c")), "minhash-list-own")
     left = lists.where("kind = 1").drop("c", "kind").join(own, ["hb", "h"])
-    left = left.join(apart(left, ["hb", "key"]), ["hb", "key"])
+    left = materialize(left.join(apart(left, ["hb", "key"]), ["hb", "key"]), "minhash-list-extras")
     x, y = (left.select("hb", "key", *[F.col(v).alias(f"{v}{k}") for v in ("h", "c", "n", "both", "more", "profile")]) for k in (1, 2))
     most = F.least("both1", "both2") + F.least("more1", "more2")
     in_parts = F.aggregate(F.zip_with("profile1", "profile2", lambda p, q: F.least(p, q)), F.lit(0), lambda s, p: s + p)
     extra_pairs = x.join(y, ["hb", "key"]).where((F.col("h1") < F.col("h2")) & (F.col("c1") != F.col("c2")) & _size_fits("n1", "n2", percent) & _above(most, "n1", "n2", percent) & _above(in_parts, "n1", "n2", percent))
-    sized = slim.drop("c").join(own, ["hb", "h"])
-    sized = sized.join(apart(sized, ["hb"]), "hb")
+    sized = slim.select("hb", "h", "n", "both", "step").join(own, ["hb", "h"])
+    sized = materialize(sized.join(apart(sized, ["hb"]), "hb"), "minhash-list-sizes")
     # x is the larger one; both sets' common part lies in the pivot, so n1 + n2 is bounded by what x shares with it
     low, high = F.ceil(F.col("n") * percent / 100), F.least(F.col("n"), F.floor(F.col("both") * (100 + percent) / percent).cast("long") - F.col("n"))
     x = sized.where(low <= high).select("hb", *[F.col(v).alias(f"{v}1") for v in ("h", "c", "n", "both")], F.explode(F.sequence(F.floor(low / F.col("step")), F.floor(high / F.col("step")))).alias("key"))
     y = sized.select("hb", *[F.col(v).alias(f"{v}2") for v in ("h", "c", "n", "both")], F.floor(F.col("n") / F.col("step")).alias("key"))
     size_pairs = x.join(y, ["hb", "key"]).where((F.col("c1") != F.col("c2")) & ((F.col("n1") > F.col("n2")) | (F.col("n1") == F.col("n2")) & (F.col("h1") < F.col("h2"))) & _size_fits("n1", "n2", percent) & _above(F.least("both1", "both2"), "n1", "n2", percent))
-    pairs = extra_pairs.select("hb", "h1", "h2").union(size_pairs.select("hb", "h1", "h2")).distinct()
-    return materialize(star.union(_links_of(pairs, members, percent)), "minhash-among", done=(lists, star, members))
+    pairs = materialize(extra_pairs.select("hb", "h1", "h2").union(size_pairs.select("hb", "h1", "h2")).distinct(), "minhash-list-pairs", done=(lists, own, left, sized))
+    return materialize(star.union(_links_of(pairs, members, percent)), "minhash-among", done=(star, members, pairs))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,7 +260,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     )
     listed = materialize(ranked.join(nodes, "h"), "minhash-prefix")
     postings = listed.select(F.explode("keys").alias("key"), "h", "a", "n", "w")
-    heads = postings.groupBy("key").agg(F.max(F.struct("w", "a", "n", "h")).alias("p"), F.count("*").alias("size")).where("size > 1").select("key", F.col("p.a").alias("b"), F.col("p.n").alias("m"), F.col("p.h").alias("hb"))
+    heads = postings.groupBy("key").agg(F.max(F.struct("w", "a", "n", "h")).alias("p"), F.count("*").alias("size")).where("size > 1").select("key", F.col("p.a").alias("b"), F.col("p.h").alias("hb"))
+    heads = materialize(heads, "minhash-heads")
 
     # the texts that may be needed
     wanted = listed.select(F.col("a").alias("doc_id"), "h")
@@ -286,9 +287,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     # classes with too few agreements with a list's pivot, against the list
     all_rows = listed.join(together, "a", "left").select(F.explode("keys").alias("key"), "keys", "h", "a", "n", "sig", F.coalesce("c", "a").alias("c"))
     placed = all_rows.select("key", "h", "c").join(heads.select("key", "hb"), "key").where("h != hb").join(to_pivot.select(F.col("ha").alias("h"), "hb", F.lit(True).alias("held")), ["h", "hb"], "left")
+    placed = materialize(placed.select("key", "h", "c", "held"), "minhash-placed")
     open_ = placed.groupBy("key").agg(F.count(F.when(F.col("held").isNull(), 1)).alias("far"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("far > 0 and c0 != c1").select("key")
-    placed = placed.join(open_, "key").select("key", "h", F.col("held").isNotNull().alias("held"))
-    spread = materialize(all_rows.join(placed, ["key", "h"]), "minhash-far")
+    opened = placed.join(open_, "key").select("key", "h", F.col("held").isNotNull().alias("held"))
+    spread = materialize(all_rows.join(opened, ["key", "h"]), "minhash-far", done=(heads, placed))
     left = spread.where("not held").select([F.col(x).alias(f"{x}1") for x in ("h", "a", "n", "sig", "c", "keys")] + ["key"])
     right = spread.select([F.col(x).alias(f"{x}2") for x in ("h", "a", "n", "sig", "c", "keys", "held")] + ["key"])
     pairs = left.join(
@@ -304,11 +306,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
     found = components(together.union(among).union(across), "minhash-links")
     release(nodes, listed, texts, to_pivot, spread)
-    groups = first.join(found.withColumnRenamed("node", "a"), "a").select("h", F.col("component").alias("via"))
-    direct = first.select("h", F.col("a").alias("own"))
+    groups = first.join(found.withColumnRenamed("node", "a"), "a", "left").select("h", F.col("a").alias("own"), F.col("component").alias("via"))
     return (
-        sketched.join(direct, "h", "left")
-        .join(groups, "h", "left")
+        sketched.join(groups, "h", "left")
         .select(
             "doc_id",
             "n_shingles",

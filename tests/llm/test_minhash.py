@@ -5,7 +5,9 @@ import duckdb
 import numpy as np
 import pytest
 
+from leafquery.llm import components as components_module
 from leafquery.llm import minhash
+from leafquery.llm.common import materialize
 from leafquery.llm.components import components
 from leafquery.llm.minhash import needed_agreements, near_duplicates, shingle_set, signature
 from leafquery.llm.q_minhash import ORACLES, op2_minhash_near_dedup
@@ -127,3 +129,36 @@ def test_excerpts_and_variants_of_one_text(spark, n, percent):
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).collect()}
     assert {i: got[i] for i in want} == {i: c for i, (_, c) in want.items()}
     assert {got[5000 + i] for i in range(1500)} == {got[same]}
+
+
+@pytest.mark.parametrize("links_of_a_task", [components_module.TASK_LINKS, 10])
+def test_components_by_one_task_and_by_rounds(spark, monkeypatch, links_of_a_task):
+    monkeypatch.setattr(components_module, "TASK_LINKS", links_of_a_task)
+    rnd = random.Random(3)
+    links = [tuple(rnd.randint(-(10**12), 10**12) if rnd.random() < 0.05 else rnd.randint(-80, 80) for _ in range(2)) for _ in range(120)]
+    links += [(i, i + 1) for i in range(1000, 1040)] + [(None, 5), (7, 7), (2**62, -(2**62)), (2**62, 2000)]
+    used = [x for x in links if None not in x and x[0] != x[1]]
+    want = least_reachable({x for link in used for x in link}, used)
+    got = components(spark.createDataFrame(links, "x long, y long")).collect()
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+
+
+def test_the_driver_plans_few_shuffles_at_once(spark, monkeypatch):
+    """Its memory goes with the shuffles of a plan and with the jobs of a run, not with the rows."""
+    seen = {}
+
+    def counted(df, label, *args, **kwargs):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        seen[label] = max(seen.get(label, 0), sum(" Exchange " in line or "BroadcastExchange" in line for line in plan.splitlines()))
+        return materialize(df, label, *args, **kwargs)
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    monkeypatch.setattr(components_module, "materialize", counted)
+    spark.sparkContext.setJobGroup("near duplicates", "")
+    try:
+        components(spark.createDataFrame([(i, i + 1) for i in range(100)], "x long, y long")).collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("near duplicates"))
+        near_duplicates(spark.createDataFrame([(i, f"a b {i % 3} c d e f") for i in range(60)], "doc_id long, text string")).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 12 and max(seen.values()) <= 24, (jobs, seen)
